@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, tokens
+from . import decontaminate, jaccard, langid, packing, quality, tokens, warc
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
 
@@ -30,9 +38,18 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op5_tokens, op6_decontaminate, op7_langid)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_jaccard, op4_warc, op5_tokens, op6_decontaminate, op7_langid, op8_packing)}
 
 ORACLES: dict[str, str] = {
+    "op4_warc": """
+with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
+f as (select payload_digest, min(page_id) f from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when f is not null and f <> page_id then 'revisit' else 'response' end record_type, case when f <> page_id then f end refers_to
+from p left join f using (payload_digest)""",
     "op6_decontaminate": r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 i as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
