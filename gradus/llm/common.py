@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words, as bytes.split() knows it.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -38,6 +39,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose id is not among ids. At most `most` ids travel to every executor; more are joined by a shuffle."""
+    ids = kept(ids.select(F.col(id_col)).distinct(), "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, id_col, "left_anti").select(docs.columns)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str, step: int = 256) -> Iterator[tuple[list, ...]]:
     """Small runs of rows of Arrow batches, as lists by column, so that few texts are copied at a time.
 

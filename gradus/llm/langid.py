@@ -173,6 +173,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return got.mapInArrow(run, f"id {got.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with at least least_score."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _predictors:
+            _predictors.clear()
+            _predictors[name] = Predictor(shared.value)
+        for batch in batches:
+            found = [_predictors[name].predict(t) for (texts,) in rows_of([batch], text_col) for t in texts]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str, modulus: int, remainder: int):
     """By the CRC-32 of the id as text; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(modulus)) == remainder

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, lmscore, packing, quality, tokens, warc
+from . import decontaminate, jaccard, langid, linedup, lmscore, packing, quality, tokens, warc
 from .common import table
 
 
+def op1_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(docs, model, words).withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_jaccard, op4_warc, op5_tokens, op6_decontaminate, op7_langid, op8_packing, op9_lmscore)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_linedup, op2_quality, op3_jaccard, op4_warc, op5_tokens, op6_decontaminate, op7_langid, op8_packing, op9_lmscore)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": """
