@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, linedup, lmscore, packing, quality, tokens, warc
+from . import decontaminate, htmltext, jaccard, langid, linedup, lmscore, packing, quality, tokens, warc
 from .common import table
 
 
@@ -53,7 +53,11 @@ def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(docs, model, words).withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_linedup, op2_quality, op3_jaccard, op4_warc, op5_tokens, op6_decontaminate, op7_langid, op8_packing, op9_lmscore)}
+def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_linedup, op2_quality, op3_jaccard, op4_warc, op5_tokens, op6_decontaminate, op7_langid, op8_packing, op9_lmscore, op10_htmltext)}
 
 ORACLES: dict[str, str] = {
     "op4_warc": """
