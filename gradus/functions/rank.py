@@ -25,10 +25,10 @@ def cumulated(df: DataFrame, groups: Sequence[str], value: str, sums: dict[str,
     per = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("bucket", -bucket if descending else bucket).groupBy(*groups, "bucket", value).agg(*(F.sum(e).alias(n) for n, e in sums.items()))
     total = per.groupBy(*groups, "bucket").agg(*(F.sum(n).alias(f"t_{n}") for n in sums))
     before = W.partitionBy(*groups).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = total.select(*(F.col(g).alias(f"g_{g}") for g in groups), F.col("bucket").alias("b"), *(F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"o_{n}") for n in sums))
+    offsets = total.select(*(F.col(g).alias(f"g_{g}") for g in groups), F.col("bucket").alias("g_bucket"), *(F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"o_{n}") for n in sums))
     order = F.desc(value) if descending else F.asc(value)
     within = W.partitionBy(*groups, "bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    same = F.col("bucket") == F.col("b")
+    same = F.col("bucket") == F.col("g_bucket")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"g_{g}"))
     out = per.withColumns({f"cum_{n}": F.sum(n).over(within) for n in sums}).join(offsets, same)

@@ -51,7 +51,7 @@ from c"""
 LESIONS = """
 select l_orderkey image_id, l_linenumber pos, l_suppkey % 900 x1, l_partkey % 300 y1,
        case when l_linenumber <> 7 then l_suppkey % 900 + cast(l_quantity as int) end x2,
-       l_partkey % 300 + 7 * (l_linenumber - 1) y2, l_shipmode laterality, l_returnflag finding
+       l_partkey % 300 + 7 * (l_linenumber - 1) y2, case when l_returnflag = 'R' then 'R' else 'L' end laterality, l_linestatus finding
 from lineitem"""
 
 TRAIN_LOG = """
