@@ -64,8 +64,11 @@ def primary_lesion_argmax(spark, sf_dir):
 
 
 def _scaled_sql(scale: float) -> str:
-    at = lambda c, h, s: f"greatest(0, least({c}, cast(round_even(({'x' if c == 1024 else 'y'}1 + {'x' if c == 1024 else 'y'}2) / 2.0 {s} ({'x' if c == 1024 else 'y'}2 - {'x' if c == 1024 else 'y'}1) * {scale} / 2, 0) as int)))"
-    return LES + f"""select image_id, pos, cast({at(1024, 0, '-')} as int) x1, cast({at(384, 0, '-')} as int) y1, cast({at(1024, 0, '+')} as int) x2, cast({at(384, 0, '+')} as int) y2 from ok where rn = 1"""
+    def at(v: str, sign: str, most: int) -> str:
+        size = f"greatest(1, round_even(({v}2 - {v}1) * {scale}::double, 0))"
+        return f"cast(greatest(0, least({most}, round_even(({v}1 + {v}2) / 2.0::double {sign} {size} / 2.0::double, 0))) as int)"
+
+    return LES + f"select image_id, pos, {at('x', '-', 1024)} x1, {at('y', '-', 384)} y1, {at('x', '+', 1024)} x2, {at('y', '+', 384)} y2 from ok where rn = 1"
 
 
 @query(_scaled_sql(1.5), needs_pred=False)

@@ -28,8 +28,8 @@ def clip(b: Column, height: Column, width: Column) -> Column:
 def scaled(b: Column, scale: float, height: Column, width: Column) -> Column:
     """b scaled about its centre, corners rounded half to even, clipped."""
     cx, cy = (b["x1"] + b["x2"]) / F.lit(2.0), (b["y1"] + b["y2"]) / F.lit(2.0)
-    hw, hh = (b["x2"] - b["x1"]) * F.lit(scale / 2), (b["y2"] - b["y1"]) * F.lit(scale / 2)
-    return clip(box(F.bround(cx - hw), F.bround(cy - hh), F.bround(cx + hw), F.bround(cy + hh)), height, width)
+    w, h = (F.greatest(F.lit(1.0), F.bround((b[e] - b[s]).cast("double") * F.lit(scale))) for s, e in (("x1", "x2"), ("y1", "y2")))
+    return clip(box(F.bround(cx - w / 2), F.bround(cy - h / 2), F.bround(cx + w / 2), F.bround(cy + h / 2)), height, width)
 
 
 def shifted(boxes: Column, crop: Column) -> Column:
