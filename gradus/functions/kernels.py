@@ -387,6 +387,27 @@ def reduce_resolution(x: np.ndarray, factor: float, variant: str = "evaluation")
     return clip01(cubic_weights(sh, h) @ small @ cubic_weights(sw, w).T)
 
 
+def resolution_ladder(x: np.ndarray, severities=None, factors=(0.9, 0.8, 0.7, 0.6, 0.5, 0.4), variant: str = "evaluation") -> dict[int, np.ndarray]:
+    """Severity to the image at that severity's resolution."""
+    severities = range(1, len(factors) + 1) if severities is None else severities
+    if bad := [s for s in severities if not 1 <= s <= len(factors)]:
+        raise ValueError(f"severities {bad} are not in 1 to {len(factors)}")
+    return {s: reduce_resolution(x, factors[s - 1], variant) for s in severities}
+
+
+def lesions_dilated(shape: tuple[int, int], boxes, by: int = 16) -> np.ndarray:
+    """Pixels within `by` of any box."""
+    out = np.zeros(shape, bool)
+    for b in boxes:
+        out |= box_mask(shape, tuple(b))
+    return dilate(out, by)
+
+
+def blur_schedule(lengths=(3, 5, 7, 11, 15, 21), canvas_mm: float = 0.24) -> list[tuple[int, int, float]]:
+    """Severity, length in pixels, and in millimetres on the canvas."""
+    return [(k, n, n * canvas_mm) for k, n in enumerate(lengths, 1)]
+
+
 #: JPEG 2000 codecs by name: functions of an image and a compression ratio. None is built in.
 CODECS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {}
 

@@ -29,6 +29,11 @@ OUT = "image_id long, degradation_type string, severity int, parameter_name stri
 SCORERS: dict[str, Callable[[np.ndarray], float]] = {"linear": lambda x: float(4 * x.mean() - 1 + 6 * x.std())}
 
 
+def flip_averaged(scorer: Callable[[np.ndarray], float]) -> Callable[[np.ndarray], float]:
+    """The mean logit of an image and of its mirror image."""
+    return lambda x: (scorer(x) + scorer(x[:, ::-1])) / 2
+
+
 def to_image(data: bytes, h: int, w: int) -> np.ndarray:
     x = np.frombuffer(data, "<f4").reshape(h, w)
     return np.where(np.isfinite(x), x, 0).astype(np.float32)

@@ -51,3 +51,22 @@ def expand(images: DataFrame, specs: DataFrame) -> DataFrame:
 def seed_of(base: int, index, spec):
     """A seed from an image's place in the whole sorted corpus, not in what is left of it: a resumed run repeats its noise."""
     return F.lit(base) + index * 1000 + spec
+
+
+def register_udtf(spark: SparkSession, name: str = "expand_plan") -> None:
+    """The plan as a table function in SQL: select ... from images, lateral expand_plan()."""
+    from pyspark.sql.functions import udtf
+
+    rows = specs()
+
+    @udtf(returnType="spec_idx int, degradation_type string, severity int, parameter_name string, parameter_value double")
+    class Expand:
+        def eval(self):
+            yield from rows
+
+    spark.udtf.register(name, Expand)
+
+
+def effective_spacing(original_height, filled_rows, spacing_mm: float = 0.07):
+    """Millimetres a pixel of the canvas stands for; null where no row is filled. Kernel lengths are in pixels and don't use it."""
+    return F.try_divide(F.lit(spacing_mm) * original_height, filled_rows.cast("double"))

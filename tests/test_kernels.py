@@ -156,3 +156,13 @@ def test_image_pass(spark):
     assert out[out.image_id == 3].cnr.isna().all()
     s = imaging.run_summary(spark.createDataFrame(out[["image_id", "processing_status"]])).first()
     assert (s.n_images, s.n_errors, s.n_variants_failed) == (3, 1, 12)
+
+
+def test_ladder_dilation_and_flips(img):
+    assert list(K.resolution_ladder(img, [2, 5])) == [2, 5]
+    with pytest.raises(ValueError):
+        K.resolution_ladder(img, [7])
+    d = K.lesions_dilated((20, 20), [(8, 8, 10, 10)], 2)
+    assert d[8, 6] and not d[8, 5] and d.sum() < 64
+    assert [n for _, n, _ in K.blur_schedule()] == sorted({n for _, n, _ in K.blur_schedule()})
+    assert imaging.flip_averaged(lambda x: float(x[0, 0]))(np.array([[1.0, 3.0]])) == 2

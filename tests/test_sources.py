@@ -128,3 +128,63 @@ def test_box_columns(spark):
     df = spark.createDataFrame([((10, 10, 20, 20),)], "b struct<x1:int,y1:int,x2:int,y2:int>")
     b = df.select(boxes.scaled(F.col("b"), 1.5, F.lit(100), F.lit(100)).alias("s"), boxes.clip(boxes.box(F.lit(200), F.lit(0), F.lit(210), F.lit(5)), F.lit(100), F.lit(100)).alias("c")).first()
     assert tuple(b.s) == (8, 8, 22, 22) and b.c is None
+
+
+def png_bytes(x, bits, filters):
+    import struct
+    import zlib
+
+    h, w = x.shape
+    raw = x.astype(">u2" if bits == 16 else "u1").view("u1").reshape(h, -1).astype(int)
+    step, lines, above = bits // 8, b"", [0] * raw.shape[1]
+    for y in range(h):
+        f, out = filters[y % len(filters)], []
+        for i, v in enumerate(raw[y]):
+            a, b, c = (raw[y][i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
+            p = a + b - c
+            paeth = a if abs(p - a) <= min(abs(p - b), abs(p - c)) else b if abs(p - b) <= abs(p - c) else c
+            out.append((v - [0, a, b, (a + b) // 2, paeth][f]) % 256)
+        lines += bytes([f, *out])
+        above = raw[y]
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def dicom_bytes(x, photometric, implicit=False):
+    import struct
+
+    def element(group, tag, kind, value, implicit):
+        value += b"\0" * (len(value) % 2)
+        if implicit:
+            return struct.pack("<HHI", group, tag, len(value)) + value
+        if kind in (b"OW", b"SQ"):
+            return struct.pack("<HH2sHI", group, tag, kind, 0, len(value)) + value
+        return struct.pack("<HH2sH", group, tag, kind, len(value)) + value
+
+    syntax = b"1.2.840.10008.1.2" + (b"" if implicit else b".1")
+    body = [(0x8, 0x70, b"LO", b"ACME"), (0x28, 0x4, b"CS", photometric), (0x28, 0x10, b"US", struct.pack("<H", x.shape[0])), (0x28, 0x11, b"US", struct.pack("<H", x.shape[1])), (0x28, 0x30, b"DS", b"0.1\\0.07"), (0x28, 0x100, b"US", b"\x10\0"), (0x28, 0x103, b"US", b"\0\0"), (0x28, 0x1052, b"DS", b"5"), (0x28, 0x1053, b"DS", b"2"), (0x7FE0, 0x10, b"OW", x.astype("<u2").tobytes())]
+    return b"\0" * 128 + b"DICM" + element(2, 0x10, b"UI", syntax, False) + b"".join(element(*e, implicit) for e in body)
+
+
+def test_image_files(spark, tmp_path):
+    from gradus.sources import images
+
+    x = np.random.default_rng(0).integers(0, 250, (6, 5))
+    (tmp_path / "a.png").write_bytes(png_bytes(x, 8, [0, 1, 2, 3, 4]))
+    (tmp_path / "b.PNG").write_bytes(png_bytes(x * 200, 16, [4, 3, 2, 1, 0]))
+    (tmp_path / "c.dcm").write_bytes(dicom_bytes(x, b"MONOCHROME2"))
+    (tmp_path / "d.dicom").write_bytes(dicom_bytes(x, b"MONOCHROME1", implicit=True))
+    (tmp_path / "e.npy").write_bytes(npy(x[None].astype(float)))
+    (tmp_path / "f.dcm").write_bytes(b"nothing")
+    got = {r.image_id: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    pixels = {k: np.frombuffer(r.data, "<f4").reshape(r.h, r.w) for k, r in got.items() if r.data is not None}
+    assert (pixels["a"] == x).all() and (pixels["b"] == x * 200).all() and (pixels["e"] == x).all()
+    assert (pixels["c"] == 2 * x + 5).all() and (pixels["d"] == (2 * x).max() - 2 * x).all()
+    assert got["c"].pixel_spacing_mm == 0.07 and got["d"].manufacturer == "ACME" and "DICOM" in got["f"].error
+
+
+def test_plan_in_sql(spark):
+    from gradus.plans import degradation
+
+    degradation.register_udtf(spark)
+    assert spark.sql("select t.* from range(2), lateral expand_plan() t").count() == 62
