@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import boxes, calibration, rank
@@ -73,7 +72,6 @@ def _scaled_sql(scale: float) -> str:
 
 @query(_scaled_sql(1.5), needs_pred=False)
 def bbox_scale_clip(spark, sf_dir):
-    b = lesion_lists(spark, sf_dir).select("image_id", F.posexplode("boxes").alias("k", "b"))
     rows = labels.keep_first(fixtures.lesions(spark, sf_dir).where("x2 > x1 and y2 > y1").select("image_id", "pos", "x1", "y1", "x2", "y2", "laterality", "finding"), ["image_id", "pos"], [F.col(c) for c in ("x1", "y1", "x2", "y2", "laterality", "finding")])
     out = rows.select("image_id", "pos", boxes.scaled(boxes.box(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))), 1.5, F.lit(384), F.lit(1024)).alias("s"))
     return out.select("image_id", "pos", "s.x1", "s.y1", "s.x2", "s.y2")
@@ -314,4 +312,4 @@ def shift_pearson(spark, sf_dir):
     return r6(paired(test_rows(spark, sf_dir)).where("severity = 6").groupBy("degradation_type").agg(F.count("*").alias("n"), rank.pearson("ssim", "abs_shift").alias("r")), "r")
 
 
-__all__ = ["ORACLES", "QUERIES", "W"]
+__all__ = ["ORACLES", "QUERIES"]

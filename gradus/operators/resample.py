@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -111,4 +110,4 @@ def draw_index(weights: Sequence[float], u: Callable[[int], float], n: int) -> l
     return np.searchsorted(edges, [u(k) * edges[-1] for k in range(n)], "right").clip(0, len(edges) - 1).tolist()
 
 
-__all__ = ["W", "bootstrap_auc", "bootstrap_mean", "draw_index", "fixed_weights", "interval", "one_per_group", "portable_hash", "sample", "stratified", "weighted_auc"]
+__all__ = ["bootstrap_auc", "bootstrap_mean", "draw_index", "fixed_weights", "interval", "one_per_group", "portable_hash", "sample", "stratified", "weighted_auc"]

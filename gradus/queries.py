@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import boxes, calibration, rank
-from .operators import labels
+from .functions import calibration, rank
 from .plans import degradation, fixtures
 
 C = ["degradation_type", "severity"]
@@ -253,9 +251,9 @@ def _bridged(spark, sf_dir, target):
     return rank.spearman(long_metrics(means, *C, target), ["metric"], "value", target)
 
 
-@query(SHIFT + _rho("degradation_type, metric", "error_shift").replace(" lm as", " lm as").replace("rk as", "rk as") + " select degradation_type, metric, n, round(rho, 4) rho from rho")
+@query(SHIFT + _rho("degradation_type, metric", "error_shift") + " select degradation_type, metric, n, round(rho, 4) rho from rho")
 def alt_error_shift_matrix(spark, sf_dir):
-    rows = long_metrics(paired(test_rows(spark, sf_dir)), "degradation_type", "error_shift").withColumn("error_shift", F.col("error_shift"))
+    rows = long_metrics(paired(test_rows(spark, sf_dir)), "degradation_type", "error_shift")
     return r6(rank.spearman(rows, ["degradation_type", "metric"], "value", "error_shift"), "rho", digits=4)
 
 
