@@ -30,6 +30,17 @@ def test_token_counts_are_the_librarys(awkward, documents, tokenizer):
     assert texts == {}
 
 
+def test_odd_words_are_the_librarys_too(tokenizer):
+    words = ["Ärger.", "naïve,", "ÿ", "þorn,.", "Ωmega.", "I\u0307.", "e\u0301.", "H\u0331,", "don't.", "we'LL,", "x..", ".,", "a.b", "<|endoftext|>.", "<|ENDOFTEXT|>,", "ﬁn.", "ẞ.", "ß", "×.", "÷", "Ǆ.", "ªº", "µm.", "\u00adx", "a\u00a0b.", "Σας,", "ÀÉ", "1.", "x1,", "中文.", "é" * 300 + "."]
+    for lengths in (True, False):
+        c = tokens.WordCoder(tokens.tokenizer_path(), lengths=lengths)
+        assert c.direct
+        for text in [*words, " ".join(words)]:
+            want = tokenizer.encode(text, add_special_tokens=False).ids
+            got = c.count(text.encode()) if lengths else np.frombuffer(b"".join(c.ids(text.encode())), "<u4").tolist()
+            assert got == (len(want) if lengths else want), text
+
+
 def test_token_memory_is_bounded(tokenizer):
     c = tokens.WordCoder(tokens.tokenizer_path(), lengths=True, most_words=50, batch_bytes=40)
     text = " ".join(f"word{k % 170}x" for k in range(900)).encode()
