@@ -202,12 +202,15 @@ def links_and_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, perc
     reps = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("doc"))
     nodes = kept(rows.where("n > 0").select("id", "n", "sig", "prefix", "point").join(reps.select(F.col("doc").alias("id"), F.col("sig").alias("s")), "id").where("sig = s").drop("s").withColumnRenamed("id", "doc").dropDuplicates(["sig"]), "jaccard-nodes")
     members = nodes.select("sig", "n", F.explode("prefix").alias("block"))
-    shared = kept(members.groupBy("block").agg(F.count("*").alias("size"), F.min(F.struct("n", "sig")).alias("pivot")).where("size > 1"), "jaccard-blocks")
-    few = shared.count() <= 1_000_000  # four longs each
+    shared = kept(members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-blocks")
+    few = shared.count() <= 1_000_000  # two longs each
     multi = kept(members.join(F.broadcast(shared) if few else shared, "block"), "jaccard-members")
 
-    # A document of each block first. The least has the least size, so one comparison bounds the sizes.
-    near = multi.where((F.col("sig") != F.col("pivot.sig")) & (100 * F.col("pivot.n") >= percent * F.col("n")))
+    # One document of each block first: the one whose shingles most others share. That is the text that
+    # the others of a large group were copied from, if it is there; any other would link to few of them.
+    central = multi.groupBy("sig").agg(F.sum("size").alias("central"))
+    pivots = multi.select("block", "sig", "n").join(central, "sig").groupBy("block").agg(F.max(F.struct("central", "n", "sig")).alias("pivot"))
+    near = multi.join(pivots, "block").where((F.col("sig") != F.col("pivot.sig")) & (100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")))
     pairs = near.select(F.col("pivot.sig").alias("p"), "sig").distinct()
     points = nodes.select("sig", "n", "point")
     bounded = pairs.join(points.withColumnsRenamed({"sig": "p", "n": "pn", "point": "pp"}), "p").join(points, "sig")
