@@ -35,7 +35,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

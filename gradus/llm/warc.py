@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import kept, shared_dir
@@ -111,7 +110,7 @@ class _Writer:
         if self.out is None:
             self.name = f"{uuid.uuid4().hex}.warc.gz"
             self.out, self.size, self.records = self.fs.open_output_stream(f"{self.root}/{self.name}"), 0, 0
-        self.packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self.packer = zlib.compressobj(6, zlib.DEFLATED, 31)
         self.data(_head(record, self.date))
 
     def data(self, chunk: bytes) -> None:
@@ -271,4 +270,4 @@ def round_trip(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", u
     return records(read(manifest, folder))
 
 
-__all__ = ["W", "chunk_table", "decide", "payloads", "read", "records", "round_trip", "write"]
+__all__ = ["chunk_table", "decide", "payloads", "read", "records", "round_trip", "write"]
