@@ -60,6 +60,14 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_linedup, op2_quality, op3_jaccard, op4_warc, op5_tokens, op6_decontaminate, op7_langid, op8_packing, op9_lmscore, op10_htmltext)}
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, p, p + least(len(w), 3) - 1), ' ') s from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) p from w where len(w) > 0) t),
+n as (select doc_id, count(*) n from s group by doc_id),
+pairs as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from pairs join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 90 * (p.n + q.n - k)),
+reach as (select doc_id, doc_id c from documents union select y, c from reach join links on reach.doc_id = x)
+select d.doc_id, cast(coalesce(any_value(n), 0) as bigint) n_shingles, min(c) component_id from documents d join reach r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id""",
     "op4_warc": """
 with p as (select page_id, cast(strlen(coalesce(html, '')) as bigint) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
 f as (select payload_digest, min(page_id) f from p where payload_bytes >= 100 group by payload_digest)

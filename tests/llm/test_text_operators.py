@@ -91,7 +91,7 @@ def test_decontamination_offsets(spark):
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op4_warc", "op6_decontaminate"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
