@@ -77,9 +77,9 @@ def best_pattern(prices: np.ndarray, capacity: int) -> Pattern:
     return tuple(sorted(found.items(), reverse=True))
 
 
-def solve(demand: np.ndarray, capacity: int, iterations: int = 120, rate: float = 0.5) -> dict[Pattern, float]:
+def solve(demand: np.ndarray, capacity: int, iterations: int, rate: float = 1.0, part: float = 0.2) -> dict[Pattern, float]:
     """Weights of patterns that roughly cover demand: each iteration prices lengths by how far they
-    are from covered, takes the best pattern, and adds as much of it as its scarcest length allows.
+    are from covered, takes the best pattern, and adds a part of what its scarcest length allows.
     """
     lengths = np.arange(capacity + 1)
     present = demand > 0
@@ -90,7 +90,7 @@ def solve(demand: np.ndarray, capacity: int, iterations: int = 120, rate: float
         pattern = best_pattern(prices, capacity)
         if not pattern:
             break
-        step = min(demand[n] / k for n, k in pattern)
+        step = part * min(demand[n] / k for n, k in pattern)
         for n, k in pattern:
             cover[n] += k * step / demand[n]
         out[pattern] = out.get(pattern, 0.0) + step
@@ -131,8 +131,17 @@ def best_fit(rest: dict[int, int], capacity: int) -> Counter[Pattern]:
     return done
 
 
-def plan(histogram: dict[int, int], capacity: int, iterations: int = 120, rounds: int = 3) -> Counter[Pattern]:
-    """How often each pattern is filled, all together holding exactly the histogram."""
+def plan(histogram: dict[int, int], capacity: int, iterations: int | None = None, rounds: int = 3) -> Counter[Pattern]:
+    """How often each pattern is filled, all together holding exactly the histogram, in as few
+    sequences as either the rounded program or best fit alone needs.
+    """
+    rounded = _rounded(histogram, capacity, iterations or max(120, 100_000 // capacity), rounds)
+    alone = best_fit({n: c for n, c in histogram.items() if c > 0}, capacity)
+    return min(rounded, alone, key=lambda p: sum(p.values()))
+
+
+def _rounded(histogram: dict[int, int], capacity: int, iterations: int, rounds: int) -> Counter[Pattern]:
+    """The program's patterns in whole numbers, again for what they leave, and best fit for the rest."""
     rest = {n: c for n, c in histogram.items() if c > 0}
     out: Counter[Pattern] = Counter()
     if capacity in rest:
