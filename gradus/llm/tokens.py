@@ -9,9 +9,9 @@ ids) ever leave a batch.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +39,22 @@ def segments(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[start:]
 
 
+#: Words of Latin letters alone are one piece to the tokenizer: it lower-cases them and leaves them as they are.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Byte-level tokenizers write some bytes as other characters, in ascending order from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+
+
 class WordCoder:
-    """Token ids of words, as bytes of little-endian unsigned 32-bit ids or as lengths only."""
+    """Token ids of words, as bytes of little-endian unsigned 32-bit ids or as lengths only.
+
+    A word of Latin letters, with stops or commas after it, is put together from the tokens of its
+    lower-cased letters, which come straight from the library's model, and those of the stops. All
+    others go through the whole library.
+    """
 
-    def __init__(self, path: str, lengths: bool, most_words: int = 400_000, batch_bytes: int = 1 << 18, long_word: int = 256):
+    def __init__(self, path: str, lengths: bool, most_words: int = 500_000, batch_bytes: int = 1 << 18, long_word: int = 256):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -50,6 +62,17 @@ class WordCoder:
         self.tok.no_padding()
         self.lengths, self.most, self.batch_bytes, self.long_word = lengths, most_words, batch_bytes, long_word
         self.known: dict[bytes, object] = {}
+        self.cores: dict[str, object] = {}
+        self.stops: dict[bytes, object] = {}
+        probe = "Wort,Äußerstes zz."
+        self.direct = self.tok.encode(probe, add_special_tokens=False).ids == [i for part in ("wort", ",", "äußerstes", "zz", ".") for i in self._model_ids(part)]
+
+    def _model_ids(self, piece: str) -> list[int]:
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return [t.id for t in self.tok.model.tokenize(written)]
+
+    def _value(self, ids: list[int]) -> object:
+        return len(ids) if self.lengths else struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, object]]:
         """In batches balanced by bytes."""
@@ -61,20 +84,48 @@ class WordCoder:
                 end += 1
             part = words[at:end]
             for word, e in zip(part, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                yield word, len(e) if self.lengths else np.array(e.ids, dtype="<u4").tobytes()
+                yield word, self._value(e.ids)
             at = end
 
+    def _latin(self, word: bytes) -> object | None:
+        """The value of a word of Latin letters and stops; None for others."""
+        core = word.rstrip(b".,")
+        letters = core.decode("utf-8", "replace")
+        if not _LATIN.fullmatch(letters):
+            return None
+        letters = letters.lower()
+        value = self.cores.get(letters)
+        if value is None:
+            if len(self.cores) >= self.most:
+                self.cores.clear()
+            value = self.cores[letters] = self._value(self._model_ids(letters))
+        stops = word[len(core) :]
+        if not stops:
+            return value
+        if stops not in self.stops:
+            if len(self.stops) > 1000:
+                self.stops.clear()
+            self.stops.update(self._encode([stops]))
+        return value + self.stops[stops]
+
     def look_up(self, words: list[bytes]) -> dict[bytes, object]:
         """What holds all of words; very long ones are not remembered."""
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        new = list(dict.fromkeys([w for w in words if w not in known]))
         if not new:
             return known
         if len(known) + len(new) > self.most:
             known.clear()
             new = list(dict.fromkeys(words))
-        long = [w for w in new if len(w) > self.long_word]
-        known.update(self._encode([w for w in new if len(w) <= self.long_word]))
+        other = []
+        for w in new:
+            value = self._latin(w) if self.direct and len(w) <= self.long_word else None
+            if value is None:
+                other.append(w)
+            else:
+                known[w] = value
+        long = [w for w in other if len(w) > self.long_word]
+        known.update(self._encode([w for w in other if len(w) <= self.long_word]))
         return {**known, **dict(self._encode(long))} if long else known
 
     def count(self, text: bytes) -> int:
