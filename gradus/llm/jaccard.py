@@ -178,10 +178,11 @@ def _tree_pairs(percent: int):
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, most_ids: int = 2_000_000) -> DataFrame:
     """Those of pairs (a, b: sigs) whose whole sets link. Sets are made anew from the texts, of the documents needed only."""
     needed = kept(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "doc"), "sig"), "jaccard-needed")
-    ids = needed.select(F.col("doc").alias(id_col), "sig")
+    ids = needed.select(F.col("doc").alias("__doc"), "sig")
     if needed.count() <= most_ids:  # two longs each
         ids = F.broadcast(ids)
-    got = docs.select(id_col, text_col).join(ids, id_col).select("sig", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    got = texts.join(ids, F.col("__id").eqNullSafe(F.col("__doc"))).select("sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sigs, texts in rows_of(batches, "sig", "text"):
@@ -198,10 +199,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
 def links_and_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, part: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """A row per document (id, n, sig), and components of linked sigs (node, comp)."""
-    rows = kept(sketches(docs, cell_counts(docs, text_col, size), id_col, text_col, size, percent), "jaccard-sketches")
-    reps = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("doc"))
-    nodes = kept(rows.where("n > 0").select("id", "n", "sig", "prefix", "point").join(reps.select(F.col("doc").alias("id"), F.col("sig").alias("s")), "id").where("sig = s").drop("s").withColumnRenamed("id", "doc").dropDuplicates(["sig"]), "jaccard-nodes")
-    members = nodes.select("sig", "n", F.explode("prefix").alias("block"))
+    rows = kept(sketches(docs, cell_counts(docs, text_col, size), id_col, text_col, size, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-sketches")
+    reps = kept(rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("r")).select(F.col("r.row").alias("row")), "jaccard-reps")
+    chosen = rows.join(F.broadcast(reps) if reps.count() <= 4_000_000 else reps, "row")  # a long each
+    nodes = kept(chosen.select("sig", "n", F.col("id").alias("doc"), "point"), "jaccard-nodes")
+    members = chosen.select("sig", "n", F.explode("prefix").alias("block"))
     shared = kept(members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-blocks")
     few = shared.count() <= 1_000_000  # two longs each
     multi = kept(members.join(F.broadcast(shared) if few else shared, "block"), "jaccard-members")
