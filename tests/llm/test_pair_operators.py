@@ -128,6 +128,16 @@ def test_simhash_is_the_majority(spark):
         assert r.s == (want - (1 << 64) if want >> 63 else want)
 
 
+def test_simhash_by_sums_is_the_same(spark):
+    rows = [(k, "\n".join(" ".join(f"w{k}{j % m}" for j in range(n)) for n, m in [(1, 1), (40, 9), (127, 50), (300, 7), (5000, 600)])) for k in range(5)]
+    rows += [rows[0], (9, " ".join(f"v{j % 900}" for j in range(33_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = linedup.lines_of(df, "doc_id", "text").cache()
+    want = {r.node: r.s for r in lines.select(F.xxhash64("line").alias("node"), linedup.simhash(F.split("line", " ")).alias("s")).collect()}
+    got = linedup.with_simhash(lines).collect()
+    assert len(got) == 31 and all(r.sim == want[r.node] for r in got)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -369,3 +379,12 @@ def test_without(spark):
     for most in (0, 10):
         assert sorted(r.text for r in without(docs, docs.where("doc_id = 2"), "doc_id").collect()) == ["a", "c"]
     assert without(docs, docs.where("false"), "doc_id").count() == 4
+
+
+def test_jaccard_links_documents_without_an_id(spark):
+    texts = near_copies(3, 12, edits=2)
+    df = spark.createDataFrame([(k if k % 2 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows, comps = jaccard.links_and_nodes(df, "doc_id", "text", 3, 90)
+    want = brute_components(list(enumerate(texts)))
+    n = rows.select("sig").distinct().join(comps.withColumnRenamed("node", "sig"), "sig", "left").select(F.coalesce("comp", "sig")).distinct().count()
+    assert n == len({c for _, _, c in want})
