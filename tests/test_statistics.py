@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  it registers the queries
 from gradus.functions import calibration, rank
 from gradus.operators import resample
+from gradus.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +110,15 @@ def test_samples(spark):
     assert resample.one_per_group(df, "g", "id").count() == 10
     assert resample.stratified(df, F.col("g") == 0, {True: 50, False: 5}, "id").groupBy((F.col("g") == 0).alias("s")).count().collect().__len__() == 2
     assert {r[0] for r in resample.sample(df, 7, "id").select("id").collect()} == {r[0] for r in resample.sample(df.repartition(9), 7, "id").select("id").collect()}
+
+
+@pytest.mark.parametrize(("name", "draws"), [("bootstrap_ci_image", 1000), ("bootstrap_ci_study_paired", 2000), ("mean_iqm_ci", 600)])
+def test_registered_bootstraps_take_the_references_draws(spark, sf, monkeypatch, name, draws):
+    """pubcommon.N_BOOT, fig3_4_studylevel.B and fig2_global_iqm.boot_mean_ci."""
+    taken = []
+    for f in ("bootstrap_auc", "bootstrap_mean"):
+        monkeypatch.setattr(resample, f, lambda *a, f=getattr(resample, f), **b: taken.append(a[2] if f.__name__ == "bootstrap_auc" else a[3]) or f(*a, **b))
+    out = QUERIES[name](spark, sf)
+    assert taken == [draws]
+    if "draws" in out.columns:
+        assert out.agg({"draws": "max"}).first()[0] == draws
