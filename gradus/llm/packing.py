@@ -57,48 +57,90 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return got.mapInArrow(run, f"id {got.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_pattern(prices: np.ndarray, capacity: int) -> Pattern:
-    """The lengths (prices[n] for length n; 0 for none) of greatest total price that fit: an unbounded knapsack."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        values = best[c - 1 :: -1][:c] + prices[1 : c + 1] if c < capacity else best[capacity - 1 :: -1] + prices[1:]
-        k = int(values.argmax())
-        if prices[k + 1] > 0:
-            best[c], took[c] = values[k], k + 1
-        if best[c - 1] > best[c]:
-            best[c], took[c] = best[c - 1], 0
-    found, c = Counter(), capacity
+def _knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[list[int], float]:
+    """How many of each size (ascending) are in a pattern of greatest total price, and that price.
+
+    Rooms are solved in blocks as long as the least size, which look only at earlier blocks.
+    """
+    low = int(sizes[0])
+    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for at in range(low, capacity + 1, low):
+        rooms = np.arange(at, min(at + low, capacity + 1))
+        some = int(np.searchsorted(sizes, rooms[-1], "right"))
+        left = rooms - sizes[:some, None]
+        values = np.where(left >= 0, best[np.maximum(left, 0)] + prices[:some, None], -1.0)
+        k = values.argmax(axis=0)
+        value = values[k, rooms - at]
+        best[rooms] = np.maximum.accumulate(np.maximum(value, best[at - 1]))
+        took[rooms] = np.where(value >= best[rooms], k, -1)  # -1: a token left empty
+    found, c = [0] * len(sizes), capacity
     while c > 0:
-        if took[c]:
-            found[int(took[c])] += 1
-            c -= int(took[c])
-        else:
+        if took[c] < 0:
             c -= 1
-    return tuple(sorted(found.items(), reverse=True))
+        else:
+            found[took[c]] += 1
+            c -= int(sizes[took[c]])
+    return found, float(best[capacity])
+
+
+def best_pattern(prices: np.ndarray, capacity: int) -> Pattern:
+    """The lengths (prices[n] for length n; 0 for none) of greatest total price that fit: an unbounded knapsack."""
+    sizes = np.flatnonzero(prices > 0)
+    if not len(sizes):
+        return ()
+    found, _ = _knapsack(sizes, prices[sizes], capacity)
+    return tuple((int(n), k) for n, k in zip(sizes[::-1], found[::-1], strict=True) if k)
+
 
+def classes_of(histogram: dict[int, int], capacity: int, most: int = 48) -> list[list[int]]:
+    """Lengths in classes, ascending: a frequent length alone, runs of rare ones together.
 
-def solve(demand: np.ndarray, capacity: int, iterations: int, rate: float = 1.0, part: float = 0.2) -> dict[Pattern, float]:
-    """Weights of patterns that roughly cover demand: each iteration prices lengths by how far they
-    are from covered, takes the best pattern, and adds a part of what its scarcest length allows.
+    There are at most about 2 * most classes. Lengths under capacity / 128 are in none: they fill what is left.
     """
-    lengths = np.arange(capacity + 1)
-    present = demand > 0
-    cover = np.zeros(capacity + 1)
-    out: dict[Pattern, float] = {}
-    for _ in range(iterations):
-        prices = np.where(present, lengths / capacity * np.exp(-rate * cover), 0.0)
-        pattern = best_pattern(prices, capacity)
-        if not pattern:
-            break
-        step = part * min(demand[n] / k for n, k in pattern)
-        for n, k in pattern:
-            cover[n] += k * step / demand[n]
-        out[pattern] = out.get(pattern, 0.0) + step
-    return out
+    own = sorted(n for n in histogram if n * 128 >= capacity)
+    share = sum(n * histogram[n] for n in own) / most
+    alone = {n for n in own if n * histogram[n] >= share / 2}
+    out: list[list[int]] = [[n] for n in alone]
+    run: list[int] = []
+    for n in own:
+        if n not in alone:
+            if run and sum(m * histogram[m] for m in run) + n * histogram[n] > share:
+                out.append(run)
+                run = []
+            run.append(n)
+    return sorted([*out, *([run] if run else [])], key=lambda c: c[-1])
+
+
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.01, rate: float = 10.0, part: float = 0.05, most: int = 60) -> tuple[dict[tuple[int, ...], float], float]:
+    """Weights of patterns (how many of each size) that cover demand, and a lower bound on their least sum.
+
+    Each iteration prices sizes by how far they are from covered, takes the best pattern, and adds a
+    part of what its scarcest size allows. Every iteration's prices, scaled so that no pattern is worth more
+    than one sequence, bound the sum from below. It goes on until every size is covered and the sum
+    is within gap of the bound, or for `most` iterations a size and as many more as the cover takes.
+    """
+    cover = np.zeros(len(sizes))
+    out: Counter[tuple[int, ...]] = Counter()
+    total, bound, n = 0.0, 0.0, 0
+    while cover.min() < 1 or (total > (1 + gap) * bound * cover.min() and n < most * len(sizes)):
+        n += 1
+        prices = sizes / capacity * np.exp(-rate * (cover - cover.min()))
+        pattern, value = _knapsack(sizes, prices, capacity)
+        bound = max(bound, float(prices @ demand) / value)
+        counts = np.array(pattern)
+        held = counts > 0
+        step = part * float((demand[held] / counts[held]).min())
+        cover += counts * step / demand
+        out[tuple(pattern)] += step
+        total += step
+    return {p: x / cover.min() for p, x in out.items()}, bound
+
 
+def best_fit(rest: dict[int, int], capacity: int, begun: Counter[Pattern] | None = None) -> Counter[Pattern]:
+    """Best fit of the longest first, for runs of equal lengths and of equally filled sequences at once.
 
-def best_fit(rest: dict[int, int], capacity: int) -> Counter[Pattern]:
-    """Best fit of the longest first, for runs of equal lengths and of equally filled sequences at once."""
+    begun are sequences that hold something already.
+    """
     open_: dict[int, Counter[Pattern]] = {}  # room left: patterns
     done: Counter[Pattern] = Counter()
 
@@ -108,6 +150,8 @@ def best_fit(rest: dict[int, int], capacity: int) -> Counter[Pattern]:
         else:
             done[pattern] += n
 
+    for pattern, n in (begun or {}).items():
+        put(pattern, capacity - sum(length * k for length, k in pattern), n)
     for length in sorted(rest, reverse=True):
         left = rest[length]
         while left:
@@ -131,45 +175,59 @@ def best_fit(rest: dict[int, int], capacity: int) -> Counter[Pattern]:
     return done
 
 
-def plan(histogram: dict[int, int], capacity: int, iterations: int | None = None, rounds: int = 3) -> Counter[Pattern]:
+def plan(histogram: dict[int, int], capacity: int) -> Counter[Pattern]:
     """How often each pattern is filled, all together holding exactly the histogram, in as few
     sequences as either the rounded program or best fit alone needs.
     """
-    rounded = _rounded(histogram, capacity, iterations or max(120, 100_000 // capacity), rounds)
-    alone = best_fit({n: c for n, c in histogram.items() if c > 0}, capacity)
-    return min(rounded, alone, key=lambda p: sum(p.values()))
+    histogram = {n: c for n, c in histogram.items() if c > 0}
+    return min(rounded(histogram, capacity), best_fit(histogram, capacity), key=lambda p: sum(p.values()))
 
 
-def _rounded(histogram: dict[int, int], capacity: int, iterations: int, rounds: int) -> Counter[Pattern]:
-    """The program's patterns in whole numbers, again for what they leave, and best fit for the rest."""
-    rest = {n: c for n, c in histogram.items() if c > 0}
-    out: Counter[Pattern] = Counter()
-    if capacity in rest:
-        out[((capacity, 1),)] = rest.pop(capacity)
+def rounded(histogram: dict[int, int], capacity: int, rounds: int = 3) -> Counter[Pattern]:
+    """The program's patterns in whole numbers, again for what they leave, and best fit for the rest.
+
+    A place of a pattern is as long as the longest of its class, and lengths of the class take it in
+    turn, longest first; the room this leaves is best fit's too.
+    """
+    rest, out = dict(histogram), Counter()
     for _ in range(rounds):
-        total = sum(n * c for n, c in rest.items())
-        if total < 64 * capacity:
+        classes = classes_of(rest, capacity)
+        if not classes:
             break
-        demand = np.zeros(capacity + 1)
-        for n, c in rest.items():
-            demand[n] = c
-        weights = solve(demand, capacity, iterations)
-        scale = total / capacity / max(sum(weights.values()), 1e-9)
+        weights, bound = solve(np.array([c[-1] for c in classes]), np.array([float(sum(rest[n] for n in c)) for c in classes]), capacity)
+        queues = [[[n, rest[n]] for n in c] for c in classes]
+        left = [sum(rest[n] for n in c) for c in classes]
         taken = 0
-        for pattern, x in sorted(weights.items(), key=lambda p: (-sum(n * k for n, k in p[0]), -p[1], p[0])):
-            if sum(n * k for n, k in pattern) < capacity:
-                continue
-            times = int(min(x * scale, *(rest.get(n, 0) // k for n, k in pattern)))
-            if times > 0:
-                out[pattern] += times
-                taken += times
-                for n, k in pattern:
-                    rest[n] -= k * times
-        rest = {n: c for n, c in rest.items() if c > 0}
-        if taken * 20 < total / capacity:
+        for pattern, x in sorted(weights.items(), key=lambda p: (-p[1], p[0])):
+            times = int(min(x, *(left[j] // k for j, k in enumerate(pattern) if k)))
+            taken += times
+            for j, k in enumerate(pattern):
+                left[j] -= k * times
+            while times:
+                n, places = times, []
+                for j, k in reversed(list(enumerate(pattern))):
+                    at = len(queues[j]) - 1
+                    if k and queues[j][at][1] >= k:
+                        n = min(n, queues[j][at][1] // k)
+                        places.append((queues[j][at][0], k))
+                    else:
+                        while k:  # few are left of this length: one sequence takes them and some of the next
+                            some = min(k, queues[j][at][1])
+                            places.append((queues[j][at][0], some))
+                            n, k, at = 1, k - some, at - 1
+                for length, k in places:
+                    rest[length] -= k * n
+                for j in range(len(pattern)):
+                    for pair in queues[j]:
+                        pair[1] = rest[pair[0]]
+                    while queues[j] and not queues[j][-1][1]:
+                        queues[j].pop()
+                out[tuple(places)] += n
+                times -= n
+        rest = {n: c for n, c in rest.items() if c}
+        if taken * 20 < bound:
             break
-    out.update(best_fit(rest, capacity))
-    return out
+    return best_fit(rest, capacity, out)
 
 
 def runs_of(patterns: Counter[Pattern]) -> dict[int, np.ndarray]:

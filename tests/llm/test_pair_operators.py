@@ -256,6 +256,29 @@ def test_plans_hold_exactly_the_histogram():
         assert sum(p.values()) <= -(-sum(n * c for n, c in h.items()) // 64) * 1.02 + 2
 
 
+def test_program_covers_every_length_and_beats_best_fit_on_skew():
+    """Four lengths near a half and a quarter: no plan has under 1,267 sequences, and best fit has 1,300."""
+    skew = {2060: 600, 2030: 600, 1040: 1200, 1010: 1200}
+    assert sum(packing.best_fit(skew, 4096).values()) == 1300
+    assert sum(packing.plan(skew, 4096).values()) <= 1270
+    rng = random.Random(6)
+    many = Counter(skew) + Counter(rng.randint(33, 4000) for _ in range(2500))
+    classes = packing.classes_of(many, 4096)
+    assert sorted(n for c in classes for n in c) == sorted(many)
+    sizes, demand = np.array([c[-1] for c in classes]), np.array([float(sum(many[n] for n in c)) for c in classes])
+    weights, bound = packing.solve(sizes, demand, 4096)
+    cover = sum(np.array(p) * x for p, x in weights.items())
+    assert (cover >= demand * (1 - 1e-9)).all() and bound <= sum(weights.values()) <= 1.1 * bound
+    for h in (many, {**many, 1: 5000, 4096: 3}, {1: 10}, {4096: 2}, {}):
+        for p in (packing.plan(dict(h), 4096), packing.rounded(dict(h), 4096)):
+            held = Counter()
+            for pattern, times in p.items():
+                assert sum(n * k for n, k in pattern) <= 4096 and times > 0
+                for n, k in pattern:
+                    held[n] += k * times
+            assert held == Counter(h)
+
+
 def test_knapsack_is_best():
     rng = np.random.default_rng(1)
     for _ in range(20):
