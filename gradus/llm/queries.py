@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return linedup.dedup_lines(table(spark, sf_dir, "documents"), edits=True).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

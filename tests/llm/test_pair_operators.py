@@ -201,6 +201,36 @@ def test_line_dedup_of_a_chain_within_one_key(spark):
     assert linedup.dedup_lines(df).where("n_removed = 0").count() == len({u.find(x) for x in known})
 
 
+def test_line_dedup_by_edits_alone_is_brute_force(spark, sf):
+    """Lines of 2 to 60 words with a replaced word or a few typos: most such pairs differ in more than three bits."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9)))
+    known = []
+    for n in [2, 3, 5, 8, 12, 15, 20, 30, 60] * 3:
+        line = [word() for _ in range(n)]
+        known.append(" ".join(line))
+        for _ in range(3):
+            other = list(line)
+            other[rng.randrange(n)] = word()
+            known.append(" ".join(other))
+        chars = list(known[-1])
+        for _ in range(max(1, len(chars) // 25)):
+            chars[rng.randrange(len(chars))] = "x"
+        known.append("".join(chars))
+    known = sorted({line for k in known if (line := " ".join(k.split()))}, key=lambda k: zlib.crc32(k.encode()))
+    u, links = Union(), 0
+    for i, a in enumerate(known):
+        u.find(i)
+        for j in range(i):
+            if 5 * abs(len(a) - len(known[j])) <= max(len(a), len(known[j])) and 5 * edit_distance(a, known[j]) <= max(len(a), len(known[j])):
+                u.join(i, j)
+                links += 1
+    df = spark.createDataFrame([(k, line, len(line)) for k, line in enumerate(known)], "doc_id long, text string, n_chars long")
+    want = {k for k in range(len(known)) if u.find(k) == k}
+    assert links > 100 and {r.doc_id for r in corpus_pipeline.line_dedup(spark, df, sf).collect()} == want
+    assert {r.doc_id for r in linedup.dedup_lines(df, edits=True).where("n_removed = 0").collect()} == want
+
+
 def test_line_dedup_of_awkward_rows(awkward, no_rows):
     out = linedup.dedup_lines(awkward)
     assert out.columns == [*awkward.columns, "n_lines", "n_removed"]
