@@ -7,7 +7,7 @@ context is the sum of two linear maps of their embeddings, and a class scores th
 its own vector plus a bias. It is trained in numpy by noise-contrastive estimation, with noise drawn
 from the class frequencies; as there are few classes, the expectation over the noise is taken
 exactly, from the counts of all class triples of all training documents (at most classes ** 3 of
-them, however large the corpus). Batched matrix products give the scores of every class after every
+them: a fixed size, so a larger corpus refines these counts but adds no context). Batched matrix products give the scores of every class after every
 context; they are normalised, so a text's score is a sum of looked-up log-probabilities. Within a
 class, words share its probability by their smoothed counts, with one share for all unseen words.
 """
