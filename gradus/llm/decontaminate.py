@@ -29,9 +29,9 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def windows_of(items: list[tuple[str, bytes]], size: int) -> dict[str, tuple[int, list[str]]]:
+def windows_of(items: list[tuple[str | None, bytes]], size: int) -> dict[str, tuple[int, list[str | None]]]:
     """Padded window (as Latin-1 text, one character a byte) to its number of words and its items."""
-    found: dict[str, tuple[int, list[str]]] = {}
+    found: dict[str, tuple[int, list[str | None]]] = {}
     for item, text in items:
         words = normal_words(text)
         for at in range(max(len(words) - size + 1, 1) if words else 0):
@@ -44,7 +44,7 @@ def windows_of(items: list[tuple[str, bytes]], size: int) -> dict[str, tuple[int
 
 
 class Scanner:
-    def __init__(self, windows: dict[str, tuple[int, list[str]]]):
+    def __init__(self, windows: dict[str, tuple[int, list[str | None]]]):
         self.auto = ahocorasick.Automaton()
         for key, value in windows.items():
             self.auto.add_word(key, value)
@@ -52,7 +52,7 @@ class Scanner:
             self.auto.make_automaton()
         self.any = bool(windows)
 
-    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, list[str]]]]:
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int, list[str | None]]]]:
         """The number of words, and for each hit its first word, one past its last, and its items."""
         words = normal_words(text)
         if not self.any or not words:
@@ -87,14 +87,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     spans holds [start, end) offsets in code points of the original, for each merged run of hit words.
-    A null or empty text has no words and is clean; null and wordless items have no windows; equal
-    windows of several items count for each; repeated rows are scanned each.
+    A null or empty text has no words and is clean; items without text or words have no windows; equal
+    windows of several items count for each; repeated rows are scanned each. Items without an id count
+    as one in n_items and are not in items_sha256, as in the SQL.
 
     Benchmark items are gathered on the driver only if all their text fits most_bytes. A larger
     benchmark is dealt by item into shards of at most that size, each scanned with its own automaton,
     and the hits of the shards are joined per document.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).where(F.col("item").isNotNull() & (F.length("t") > 0)).dropDuplicates()
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).where(F.length("t") > 0).dropDuplicates()
     total, longest = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()
     shards = max(1, -(-2 * total // most_bytes)) if total > most_bytes else 1
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -130,7 +131,7 @@ def _scan(got: DataFrame, items: DataFrame, window: int) -> DataFrame:
                 n.append(count)
                 words.append([{"a": a, "b": b} for a, b in runs])
                 spans.append([{"a": a, "b": b} for a, b in original_offsets(t, runs)] if runs else [])
-                found.append(sorted({i for _, _, owners in hits for i in owners}))
+                found.append(sorted({i for _, _, owners in hits for i in owners}, key=lambda i: (i is None, i or "")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(n, pa.int64()), pa.array(words, span_type), pa.array(spans, span_type), pa.array(found, pa.list_(pa.string()))], names=["id", "n_words", "words", "spans", "items"])
 
     return got.mapInArrow(run, f"id {got.schema['id'].dataType.simpleString()}, n_words long, words {_SPANS}, spans {_SPANS}, items array<string>")

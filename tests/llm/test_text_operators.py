@@ -82,6 +82,19 @@ def test_decontamination_is_brute_force(spark, awkward, most_bytes):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("most_bytes", [64 << 20, 20])
+def test_items_without_an_id_are_hits_as_in_the_sql(spark, tmp_path, most_bytes):
+    docs = spark.createDataFrame([(1, "Alpha beta gamma delta"), (2, "beta gamma"), (3, "delta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "alpha beta"), (None, "gamma delta"), (7, "beta gamma"), (12, None)], "item_id long, text string")
+    got = decontaminate.contamination(docs, bench, most_bytes=most_bytes).drop("spans").toPandas()
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    rows_equal(got, con.execute(queries.ORACLES["op6_decontaminate"]).df())
+    assert got.set_index("doc_id").n_items.to_dict() == {1: 2, 2: 1, 3: 0}
+
+
 def test_decontamination_offsets(spark):
     docs = spark.createDataFrame([(1, "Äh -- Alpha, BETA! gamma; und")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
