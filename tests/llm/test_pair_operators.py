@@ -427,6 +427,17 @@ def test_pipeline_of_awkward_rows(spark, sf, awkward, no_rows):
         df.collect()
 
 
+def test_pipeline_removes_rows_whatever_their_ids(spark, tmp_path):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(7, a), (7, a), (None, a), (9, a + " more"), (None, b), (None, b), (5, "c d e"), (5, "other words here"), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(7, a), (None, b), (5, "c d e"), (5, "other words here"), (3, None), (3, None)], key=str)
+    spark.createDataFrame([(1, "b3 b4 b5"), (2, "c d e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.benchmark(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in clean) == sorted([("7", a), ("7", a), ("None", a), ("9", a + " more"), ("5", "other words here"), ("3", ""), ("3", "")])
+
+
 def test_without(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "doc_id long, text string")
     for most in (0, 10):
