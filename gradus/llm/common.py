@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,23 +28,69 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='gradus-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir()
     return found.rstrip("/")
 
 
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='gradus-')}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage, and survives lost executors."""
+    """df, written to the shared folder and read again: cuts the lineage, and survives lost executors.
+
+    The table stays until released() or the end of whoever owns the folder.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes kept tables that nothing reads any more, and lets Spark drop the shuffle files of the jobs before."""
+    jvm = tables[0].sparkSession._jvm
+    conf = tables[0].sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._kept_at)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()  # the cleaner of shuffles and broadcasts follows the driver's collector
+
+
+def bytes_of(table: DataFrame) -> int:
+    """Bytes of a kept table's files."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._kept_at)
+    return path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path).getLength()
+
+
+#: A table is broadcast up to so many bytes of compressed files: hashed in memory it takes some five times that.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A kept table, marked for broadcast if its files have at most `most` bytes; larger ones are joined by a shuffle."""
+    return F.broadcast(table) if bytes_of(table) <= most else table
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """names, lengthened until none is among taken."""
+    lower = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n in lower:
+            n += "_"
+        out.append(n)
+    return out
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 2_000_000) -> DataFrame:
-    """The rows of docs whose id is not among ids. At most `most` ids travel to every executor; more are joined by a shuffle."""
+def without(docs: DataFrame, ids: DataFrame, id_col: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs whose id is not among ids. Ids of at most `most` bytes of files travel to every executor; more are joined by a shuffle."""
     ids = kept(ids.select(F.col(id_col)).distinct(), "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, id_col, "left_anti").select(docs.columns)
+    return docs.join(small(ids, most), id_col, "left_anti").select(docs.columns)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *names: str, step: int = 256) -> Iterator[tuple[list, ...]]:
