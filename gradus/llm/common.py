@@ -37,28 +37,47 @@ def _own_dir() -> str:
     return f"file://{tempfile.mkdtemp(prefix='gradus-')}"
 
 
+#: Kept tables: application, path, and a weak reference to what every plan that reads the table holds.
+_live: list[tuple[str, str, object]] = []
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage, and survives lost executors.
 
-    The table stays until released() or the end of whoever owns the folder.
+    The table stays until released(), or until a later kept() finds that no plan reads it any more.
     """
     spark = df.sparkSession
+    _sweep(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _live.append((spark.sparkContext.applicationId, path, spark._jvm.java.lang.ref.WeakReference(files)))
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Deletes the tables whose plans the driver's collector has taken away."""
+    gone = [x for x in _live if x[0] == spark.sparkContext.applicationId and x[2].get() is None]
+    for x in gone:
+        _delete(spark, x[1])
+        _live.remove(x)
+
+
 def released(*tables: DataFrame) -> None:
     """Deletes kept tables that nothing reads any more, and lets Spark drop the shuffle files of the jobs before."""
-    jvm = tables[0].sparkSession._jvm
-    conf = tables[0].sparkSession._jsparkSession.sessionState().newHadoopConf()
+    spark = tables[0].sparkSession
     for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t._kept_at)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, t._kept_at)
+        _live[:] = [x for x in _live if x[1] != t._kept_at]
     gc.collect()
-    jvm.System.gc()  # the cleaner of shuffles and broadcasts follows the driver's collector
+    spark._jvm.System.gc()  # the cleaner of shuffles and broadcasts follows the driver's collector
 
 
 def bytes_of(table: DataFrame) -> int:

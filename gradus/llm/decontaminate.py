@@ -8,6 +8,7 @@ words with one space around each, scanned once, and hits are mapped back to offs
 from __future__ import annotations
 
 import hashlib
+import uuid
 import re
 from collections.abc import Iterator
 
@@ -83,7 +84,7 @@ def original_offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return [(chars(places[a][0]), chars(places[b - 1][1])) for a, b in spans]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_bytes: int = 64 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, most_bytes: int = 1 << 19) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     spans holds [start, end) offsets in code points of the original, for each merged run of hit words.
@@ -91,7 +92,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows of several items count for each; repeated rows are scanned each. Items without an id count
     as one in n_items and are not in items_sha256, as in the SQL.
 
-    Benchmark items are gathered on the driver only if all their text fits most_bytes. A larger
+    Benchmark items are gathered on the driver only if all their text fits most_bytes, some 60,000
+    windows or 220 MB of automaton. A larger
     benchmark is dealt by item into shards of at most that size, each scanned with its own automaton,
     and the hits of the shards are joined per document.
     """
@@ -112,17 +114,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
+_scanners: dict[str, Scanner] = {}
 _SPANS = "array<struct<a:long,b:long>>"
 
 
 def _scan(got: DataFrame, items: DataFrame, window: int) -> DataFrame:
     windows = windows_of([(r.item, r.t.encode()) for r in items.collect()], window)
-    shared = got.sparkSession.sparkContext.broadcast(windows)
+    shared, name = got.sparkSession.sparkContext.broadcast(windows), uuid.uuid4().hex
     id_type = arrow_type(got, "id")
     span_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value)
+        if name not in _scanners:  # built once in each worker, not in each task
+            _scanners.clear()
+            _scanners[name] = Scanner(shared.value)
+        scanner = _scanners[name]
         for ids, texts in rows_of(batches, "id", "text"):
             n, words, spans, found = [], [], [], []
             for t in texts:

@@ -28,7 +28,9 @@ from .tokens import arrow_type
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNREAD = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math select option button object canvas audio video datalist".split())
+UNREAD = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg select option button object canvas audio video datalist".split())
+#: What may stand in a head; anything else ends it, as its tags are optional.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 #: An element of the key ends when one of the others starts, unless one of the last is in between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
@@ -93,6 +95,8 @@ def parse(page: str) -> Node:
         tag = m[2] or m[5]
         if not tag:
             if m[0][0] != "<" or m[0] == "<":
+                if stack[-1][0] == "head" and not m[0].isspace():
+                    close(len(stack) - 1)
                 if not unread:
                     text = html.unescape(m[0]) if "&" in m[0] else m[0]
                     parts.append(text)
@@ -107,6 +111,8 @@ def parse(page: str) -> Node:
                     break
             continue
         attributes = m[3] if m[2] else m[6]
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag in ("html", "body"):
             flush()
             if tag == "body":

@@ -1,15 +1,15 @@
 """Scoring texts with a log-bilinear language model.
 
 Words are counted over all training documents. Every token belongs to a class: the end of a text,
-one of the most frequent words, or one of a fixed number of classes of the other words by their
-last bytes. The model predicts the class of a token from the classes of the two before it: the
-context is the sum of two linear maps of their embeddings, and a class scores the inner product with
-its own vector plus a bias. It is trained in numpy by noise-contrastive estimation, with noise drawn
-from the class frequencies; as there are few classes, the expectation over the noise is taken
-exactly, from the counts of all class triples of all training documents (at most classes ** 3 of
-them: a fixed size, so a larger corpus refines these counts but adds no context). Batched matrix products give the scores of every class after every
-context; they are normalised, so a text's score is a sum of looked-up log-probabilities. Within a
-class, words share its probability by their smoothed counts, with one share for all unseen words.
+one of the most frequent words (2,047 of them, each a class of its own), or one of 256 classes of the
+other words by their last bytes. The model predicts the class of a token from the word before it:
+the context is a linear map of that word's embedding, and a class scores the inner product with its
+own vector plus a bias. It is trained in numpy by noise-contrastive estimation against noise classes
+drawn anew for each step from the class frequencies, on the counts of all class pairs of all training
+documents; the table of these counts follows the corpus until every pair has been seen. Batched
+matrix products give the scores of every class after every context; they are normalised exactly, so a
+text's score is a sum of looked-up log-probabilities. Within a class, words share its probability by
+their smoothed counts, with one share for all unseen words.
 """
 
 from __future__ import annotations
@@ -75,71 +75,94 @@ def _coded(texts: list[bytes | None], classes: Classes, memory: dict[bytes, int]
         yield np.fromiter(map(memory.__getitem__, words), np.int64, len(words))
 
 
-def count_triples(docs: DataFrame, text_col: str, classes: Classes) -> np.ndarray:
-    """How often each class follows each two: an array of n ** 3, gathered from all of docs."""
+def count_pairs(docs: DataFrame, text_col: str, classes: Classes, part: int = 1 << 20) -> np.ndarray:
+    """How often each class follows each, (n, n), gathered from all of docs; a text begins after an end."""
     k = classes.n
     shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, memory = np.zeros(k**3, np.int64), {}
+        total, memory, waiting, n = np.zeros(k * k, np.int64), {}, [], 0
         for (texts,) in rows_of(batches, "text"):
             for c in _coded(texts, shared.value, memory):
-                a = np.concatenate([[0, 0], c, [0]])
-                np.add.at(total, (a[:-2] * k + a[1:-1]) * k + a[2:], 1)
+                a = np.concatenate([[0], c, [0]])
+                waiting.append(a[:-1] * k + a[1:])
+                n += len(a)
+            if n > part:
+                total += np.bincount(np.concatenate(waiting), minlength=k * k)
+                waiting, n = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=k * k)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["cell", "n"])
+        for at in range(0, len(some), 1 << 17):
+            own = some[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], names=["cell", "n"])
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most n ** 3 rows
-    out = np.zeros(k**3)
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most n ** 2 rows of 12 bytes
+    out = np.zeros(k * k, np.float32)
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(k * k, k)
+    return out.reshape(k, k)
 
 
-def train(triples: np.ndarray, size: int = 24, steps: int = 120, rate: float = 0.05, noise: float = 10.0, seed: int = 7) -> np.ndarray:
-    """log10 P(class | two classes before), (k * k, k), from counts of triples.
+def train(counts: np.ndarray, size: int = 48, steps: int = 160, rate: float = 0.05, noise: float = 20.0, drawn: int = 1024, seed: int = 7) -> np.ndarray:
+    """log10 P(class | context), of the shape of counts, from how often each of k classes follows each context.
 
-    Contexts that never occur take no part in training but are scored.
+    There are k ** m contexts, numbered by their m classes. A step draws `drawn` noise classes for all
+    contexts. Contexts that never occur take no part in training but are scored.
     """
-    k = triples.shape[1]
+    k = counts.shape[1]
+    order = next(m for m in range(1, 64) if k**m >= len(counts))
     rng = np.random.default_rng(seed)
-    total = max(triples.sum(), 1.0)
-    share = (triples.sum(axis=0) + 1) / (total + k)
-    p = {"e": rng.normal(0, 0.1, (k, size)), "c1": np.eye(size) * 0.5, "c2": np.eye(size) * 0.5, "q": rng.normal(0, 0.1, (k, size)), "b": np.log(share)}
+    total = max(float(counts.sum(dtype=np.float64)), 1.0)
+    share = (counts.sum(axis=0, dtype=np.float64) + 1) / (total + k)
+    p = {"e": rng.normal(0, 0.1, (k, size)), "q": rng.normal(0, 0.1, (k, size)), "b": np.log(share)}
+    p |= {f"c{j}": np.eye(size) * 0.5 for j in range(order)}
     p = {n: v.astype(np.float32) for n, v in p.items()}
-    seen = np.flatnonzero(triples.sum(axis=1))
-    first, second = seen // k, seen % k
-    target = (triples[seen] / total).astype(np.float32)
+    seen = np.flatnonzero(counts.sum(axis=1))
+    places = [seen // k ** (order - 1 - j) % k for j in range(order)]
+    target = (counts[seen] / total).astype(np.float32)
     weight = target.sum(axis=1, keepdims=True)
     shift = np.log(noise * share).astype(np.float32)
     m1, m2 = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1 if len(seen) else 1):
-        e1, e2 = p["e"][first], p["e"][second]
-        r = e1 @ p["c1"] + e2 @ p["c2"]
-        sigma = 1 / (1 + np.exp(-(r @ p["q"].T + p["b"] - shift)))  # that a class came from the data, not the noise
-        g = target * (1 - sigma) - noise * weight * share.astype(np.float32) * sigma
+        parts = [p["e"][at] for at in places]
+        r = sum(x @ p[f"c{j}"] for j, x in enumerate(parts))
+        g = r @ p["q"].T
+        g += p["b"] - shift
+        np.clip(g, -60, 60, out=g)
+        np.exp(g, out=g)
+        g += 1
+        np.reciprocal(g, out=g)  # that a class came from the noise, not the data
+        chosen, times = np.unique(rng.choice(k, drawn, p=share), return_counts=True)
+        false = (1 - g[:, chosen]) * weight * (times * (noise / drawn)).astype(np.float32)
+        g *= target
+        g[:, chosen] -= false
         gr = g @ p["q"]
-        ge = np.zeros_like(p["e"])
-        g1, g2 = gr @ p["c1"].T, gr @ p["c2"].T
-        for d in range(size):
-            ge[:, d] = np.bincount(first, g1[:, d], k) + np.bincount(second, g2[:, d], k)
-        grads = {"e": ge, "c1": e1.T @ gr, "c2": e2.T @ gr, "q": g.T @ r, "b": g.sum(axis=0)}
+        grads = {"q": g.T @ r, "b": g.sum(axis=0), "e": np.zeros_like(p["e"])}
+        for j, (x, at) in enumerate(zip(parts, places, strict=True)):
+            grads[f"c{j}"] = x.T @ gr
+            back = gr @ p[f"c{j}"].T
+            if order == 1:
+                grads["e"][at] += back  # each context has its own row
+            else:
+                np.add.at(grads["e"], at, back)
+        pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))  # slower in the second half
         for n, d in grads.items():  # Adam, uphill
             m1[n] = 0.9 * m1[n] + 0.1 * d
             m2[n] = 0.99 * m2[n] + 0.01 * d * d
-            p[n] += rate * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-10)
-    out = np.empty((k * k, k), np.float32)
-    for a in range(k):  # a batch of contexts at a time
-        s = p["e"][a] @ p["c1"] + p["e"] @ p["c2"]
-        s = s @ p["q"].T + p["b"]
+            p[n] += (pace * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-10)).astype(np.float32)
+    out = np.empty(counts.shape, np.float32)
+    for at in range(0, len(out), 1024):  # a batch of contexts at a time
+        own = np.arange(at, min(at + 1024, len(out)))
+        s = sum(p["e"][own // k ** (order - 1 - j) % k] @ p[f"c{j}"] for j in range(order)) @ p["q"].T + p["b"]
         s -= s.max(axis=1, keepdims=True)
-        out[a * k : (a + 1) * k] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
+        out[own] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
     return out
 
 
 @dataclass
 class Model:
     classes: Classes
-    table: np.ndarray  # log10 P(class | two classes before)
+    table: np.ndarray  # log10 P(class | class before)
     class_tokens: np.ndarray  # training tokens and distinct words of each class
     class_words: np.ndarray
     n: int  # training tokens, and distinct ones
@@ -154,7 +177,7 @@ class Model:
         return np.where(alone, 0.0, np.log10((counts + ALPHA) / (self.class_tokens[classes] + ALPHA * (self.class_words[classes] + 1))))
 
 
-def fit(docs: DataFrame, text_col: str, top: int = 63, rest: int = 64) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, text_col: str, top: int = 2047, rest: int = 256) -> tuple[Model, DataFrame]:
     """The model, and the written table of word counts (hash, n, class), from all of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,14 +202,13 @@ def fit(docs: DataFrame, text_col: str, top: int = 63, rest: int = 64) -> tuple[
     words = kept(raw.groupBy("hash", "tail").agg(F.sum("n").alias("n"), F.min("word").alias("word")), "lm-words")
     common = [bytes(r.word) for r in words.where("word is not null").orderBy(F.desc("n"), "word").limit(top + 1).collect()]
     classes = Classes({w: 1 + k for k, w in enumerate([w for w in common if w != END][:top])}, rest)
-    single = {int(h): c for h, c in zip(word_hashes([END, *classes.top]).view(np.int64).tolist(), [0, *classes.top.values()], strict=True)}
-    lookup = F.create_map(*(F.lit(x) for h, c in single.items() for x in (h, c)))
-    of = F.coalesce(F.try_element_at(lookup, F.col("hash")), F.lit(1 + len(classes.top)) + F.col("tail"))
-    words = words.select("hash", "n", of.alias("class"))
+    single = docs.sparkSession.createDataFrame(list(zip(word_hashes([END, *classes.top]).view(np.int64).tolist(), [0, *classes.top.values()], strict=True)), "hash long, own int")  # top + 1 rows
+    of = F.coalesce("own", F.lit(1 + len(classes.top)) + F.col("tail"))
+    words = words.join(F.broadcast(single), "hash", "left").select("hash", "n", of.alias("class"))
     tokens, distinct = np.zeros(classes.n), np.zeros(classes.n)
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tokens[r["class"]], distinct[r["class"]] = r.n, r.v
-    table = train(count_triples(docs, text_col, classes))
+    table = train(count_pairs(docs, text_col, classes))
     return Model(classes, table, tokens, distinct, int(tokens.sum()), int(distinct.sum())), words
 
 
@@ -216,7 +238,7 @@ def _with_held_vocabulary(docs: DataFrame, model: Model, words: DataFrame, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, vocab, many = shared.value
-        k, memory, most = m.classes.n, {}, 300_000
+        memory, most = {}, 300_000
         facts = np.zeros((most, 4))  # class, base, within, known
 
         def learn(new: list[bytes]) -> None:
@@ -232,7 +254,7 @@ def _with_held_vocabulary(docs: DataFrame, model: Model, words: DataFrame, id_co
             out = []
             for t in texts:
                 tokens = (t or b"").lower().split()
-                n, known, base, score, before = 0, 0, 0.0, 0.0, (0, 0)
+                n, known, base, score, before = 0, 0, 0.0, 0.0, 0
                 tokens.append(END)
                 for at in range(0, len(tokens), most):
                     part = tokens[at : at + most]
@@ -243,10 +265,10 @@ def _with_held_vocabulary(docs: DataFrame, model: Model, words: DataFrame, id_co
                     if new:
                         learn(new)
                     f = facts[np.fromiter(map(memory.__getitem__, part), np.int64, len(part))]
-                    c = np.concatenate([before, f[:, 0]]).astype(np.int64)
+                    c = np.concatenate([[before], f[:, 0]]).astype(np.int64)
                     n, known, base = n + len(part), known + int(f[:, 3].sum()), base + float(f[:, 1].sum())
-                    score += float(m.table[c[:-2] * k + c[1:-1], c[2:]].sum(dtype=np.float64) + f[:, 2].sum())
-                    before = (c[-2], c[-1])
+                    score += float(m.table[c[:-1], c[1:]].sum(dtype=np.float64) + f[:, 2].sum())
+                    before = c[-1]
                 out.append((n, known, m.n, base, score))
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(c, pa.int64() if j < 3 else pa.float64()) for j, c in enumerate(zip(*out, strict=True)))], names=["id", *_COLUMNS])
 
@@ -258,35 +280,37 @@ _SCHEMA = "n_tokens long, n_known long, train_tokens long, base_score double, sc
 
 
 def _with_joined_vocabulary(docs: DataFrame, model: Model, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Words of documents, counted per document before the shuffle, meet their counts by hash."""
+    """Words of documents, counted per document before the shuffle, meet their counts by hash.
+
+    The end and the frequent words, which nearly every document has, are counted where they stand: the
+    model knows their counts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = kept(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "lm-texts")
+    first = model.classes.n - model.classes.rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document its class score (hash null), and its words by hash, with their class and number."""
+        """Per document what needs no join (hash null), and its other words by hash, with their class and number."""
         m, memory = shared.value, {}
-        k = m.classes.n
+        alone = m.base(m.class_tokens)
         for numbers, texts in rows_of(batches, "row", "text", step=32):
-            at, hashes, times, classes, score = [], [], [], [], []
+            out = []
             for r, t in zip(numbers, texts, strict=True):
                 c = next(_coded([t], m.classes, memory))
-                a = np.concatenate([[0, 0], c, [0]]).astype(np.int64)
-                seen = Counter((t or b"").lower().split())
-                seen[END] = 1
-                at += [r] * (len(seen) + 1)
-                hashes += [None, *word_hashes(list(seen)).view(np.int64).tolist()]
-                times += [0, *seen.values()]
-                classes += [0, *(m.classes.of(w) for w in seen)]
-                score += [float(m.table[a[:-2] * k + a[1:-1], a[2:]].sum(dtype=np.float64)), *[0.0] * len(seen)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(hashes, pa.int64()), pa.array(times, pa.int64()), pa.array(classes, pa.int32()), pa.array(score, pa.float64())], names=["row", "hash", "times", "class", "score"])
-
-    flat = rows.mapInArrow(run, "row long, hash long, times long, class int, score double")
+                a = np.concatenate([[0], c, [0]])
+                own = a[1:][a[1:] < first]
+                out.append((r, None, len(own), 0, float(m.table[a[:-1], a[1:]].sum(dtype=np.float64)), float(alone[own].sum()), int((m.class_tokens[own] > 0).sum())))
+                seen = Counter(w for w in (t or b"").lower().split() if memory[w] >= first)
+                out += zip([r] * len(seen), word_hashes(list(seen)).view(np.int64).tolist(), seen.values(), map(memory.__getitem__, seen), [0.0] * len(seen), [0.0] * len(seen), [0] * len(seen), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if j in (4, 5) else pa.int64()) for j, x in enumerate(zip(*out, strict=True))], names=["row", "hash", "times", "class", "score", "base", "known"])
+
+    flat = rows.mapInArrow(run, "row long, hash long, times long, class long, score double, base double, known long")
     found = flat.join(words.select(F.col("hash").alias("h"), "n"), F.col("hash") == F.col("h"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    k = model.classes.n - model.classes.rest
-    sums = {c: (float(model.class_tokens[c]) + ALPHA * (float(model.class_words[c]) + 1)) for c in range(k, model.classes.n)}
-    room = F.element_at(F.create_map(*(F.lit(x) for c, s in sums.items() for x in (c, s))), F.col("class"))
-    base = F.col("times") * F.log10((F.col("n") + ALPHA) / F.lit(model.n + ALPHA * (model.v + 1)))
-    within = F.when(F.col("class") >= k, F.col("times") * F.log10((F.col("n") + ALPHA) / room)).otherwise(0.0)
+    rooms = F.broadcast(docs.sparkSession.createDataFrame([(c, float(model.class_tokens[c]) + ALPHA * (float(model.class_words[c]) + 1)) for c in range(first, model.classes.n)], "class long, room double"))
+    found = found.join(rooms, "class", "left")
     word = F.col("hash").isNotNull()
-    summed = found.groupBy("row").agg(F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.when(word, base).otherwise(0.0)).alias("base_score"), F.sum(F.when(word, within).otherwise(F.col("score"))).alias("score"))
+    base = F.col("times") * F.log10((F.col("n") + ALPHA) / F.lit(model.n + ALPHA * (model.v + 1)))
+    within = F.col("times") * F.log10((F.col("n") + ALPHA) / F.col("room"))
+    known = F.when(F.col("n") > 0, F.col("times")).otherwise(0)
+    summed = found.groupBy("row").agg(F.sum("times").alias("n_tokens"), F.sum(F.when(word, known).otherwise(F.col("known"))).alias("n_known"), F.sum(F.when(word, base).otherwise(F.col("base"))).alias("base_score"), F.sum(F.when(word, within).otherwise(F.col("score"))).alias("score"))
     return rows.select("row", "id").join(summed, "row").select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -245,13 +245,15 @@ def runs_of(patterns: Counter[Pattern]) -> dict[int, np.ndarray]:
     return {n: np.array(rows, np.int64) for n, rows in found.items()}
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, most: int = 4096, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, most: int = 4096, share: int = 100_000) -> DataFrame:
     """One row per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of docs gives at least one piece; null and empty texts one of length 1; repeated rows
     are packed each; an empty table gives no rows.
     """
-    rows = kept(pieces(docs, path, id_col, text_col, end_id, most).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts))), "pieces")
+    written = kept(pieces(docs, path, id_col, text_col, end_id, most), "pieces")
+    salts = 64 + written.count() // share  # so that one length's pieces are ranked some `share` at a time, however many there are
+    rows = written.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
     counts = kept(rows.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row a length
     table = rows.sparkSession.sparkContext.broadcast(runs_of(plan(histogram, most)))

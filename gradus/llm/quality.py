@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, rows_of, window_hashes, word_hashes
+from .common import kept, rows_of, small, window_hashes, word_hashes
 from .tokens import arrow_type
 
 SYMBOLS = "#*$%&|<>"
@@ -89,6 +89,7 @@ def with_thresholds(rows: DataFrame, fence: float = 6.0, least_docs: int = 100,
     table = table.join(fences(by_lang, "l_", "lang").withColumnRenamed("lang", "l1"), F.col("lang").eqNullSafe(F.col("l1"))).drop("l1").crossJoin(F.broadcast(fences(over_all, "a_")))  # one row
     pick = lambda c: F.when(F.col("s_n") >= least_docs, F.col(f"s_{c}")).when(F.col("l_n") >= least_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
     table = table.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *(pick(f"{f}_{e}").alias(f"{f}_{e}") for f in FEATURES for e in ("lo", "hi")))
+    table = small(kept(table, "quality-fences"))
     joined = rows.join(table, rows["lang"].eqNullSafe(table["t_lang"]) & rows["source"].eqNullSafe(table["t_source"]), "left").drop("t_lang", "t_source")
     ok = F.lit(True)
     for f in FEATURES:

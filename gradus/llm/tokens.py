@@ -64,6 +64,7 @@ class WordCoder:
         self.known: dict[bytes, object] = {}
         self.cores: dict[str, object] = {}
         self.stops: dict[bytes, object] = {}
+        self.passing: list[bytes] = []
         probe = "Wort,Äußerstes zz."
         self.direct = self.tok.encode(probe, add_special_tokens=False).ids == [i for part in ("wort", ",", "äußerstes", "zz", ".") for i in self._model_ids(part)]
 
@@ -109,8 +110,11 @@ class WordCoder:
         return value + self.stops[stops]
 
     def look_up(self, words: list[bytes]) -> dict[bytes, object]:
-        """What holds all of words; very long ones are not remembered."""
+        """What holds all of words until the next call, which forgets very long ones."""
         known = self.known
+        for w in self.passing:
+            known.pop(w, None)
+        self.passing = []
         new = list(dict.fromkeys([w for w in words if w not in known]))
         if not new:
             return known
@@ -126,7 +130,9 @@ class WordCoder:
                 known[w] = value
         long = [w for w in other if len(w) > self.long_word]
         known.update(self._encode([w for w in other if len(w) <= self.long_word]))
-        return {**known, **dict(self._encode(long))} if long else known
+        known.update(self._encode(long))
+        self.passing = long
+        return known
 
     def count(self, text: bytes) -> int:
         total = 0
