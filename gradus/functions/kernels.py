@@ -109,8 +109,9 @@ def components(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
 def largest(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
     if not mask.any():
         return mask
-    found, n = np.unique(components(mask, diagonal)[mask], return_counts=True)
-    return components(mask, diagonal) == found[n.argmax()]
+    labels = components(mask, diagonal)
+    found, n = np.unique(labels[mask], return_counts=True)
+    return labels == found[n.argmax()]
 
 
 def drop_small(mask: np.ndarray, size: int) -> np.ndarray:
@@ -300,14 +301,20 @@ def clip01(x: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, 1).astype(np.float32)
 
 
-def dose_noise(x: np.ndarray, factor: float, sigma0: float, seed: int) -> np.ndarray:
-    """Noise that raises sigma0 to what a dose of that factor would have."""
+def dose_noise(x: np.ndarray, factor: float, sigma0: float, seed: int, variant: str = "evaluation") -> np.ndarray:
+    """Noise that raises sigma0 to what a dose of that factor would have.
+
+    The evaluation draws at that spread and rounds to single precision; the toolkit rounds the draws, then scales them.
+    """
     if not 0 < factor <= 1 or sigma0 < 0:
         raise ValueError("the dose factor must be in (0, 1] and sigma0 at least 0")
     add = np.sqrt(max(sigma0**2 / factor - sigma0**2, 0.0))
     if add == 0:
         return x.astype(np.float32).copy()
-    return clip01(x + np.random.default_rng(seed).standard_normal(x.shape).astype(np.float32) * np.float32(add))
+    rng = np.random.default_rng(seed)
+    if variant == "toolkit":
+        return clip01(x + rng.standard_normal(x.shape).astype(np.float32) * np.float32(add))
+    return clip01(x + rng.normal(0, add, x.shape).astype(np.float32))
 
 
 def blur_kernel(length: int, angle: float = 0.0) -> np.ndarray:
@@ -444,7 +451,7 @@ def degrade(x: np.ndarray, name: str, value: float | None, mask: np.ndarray, sig
     if name in ("clean", "none"):
         return x.astype(np.float32).copy()
     if name == "noise":
-        return dose_noise(x, value, sigma0, seed)
+        return dose_noise(x, value, sigma0, seed, variant)
     if name in ("blur", "motion_blur"):
         return motion_blur(x, int(value), variant=variant)
     if name == "contrast":
@@ -487,7 +494,11 @@ def ssim_map(a: np.ndarray, b: np.ndarray, size: int = 7) -> np.ndarray:
 
 def ssim_full(a: np.ndarray, b: np.ndarray) -> float:
     """Over the whole canvas, without a border of three."""
-    return float(ssim_map(a, b)[3:-3, 3:-3].mean())
+    return mean_inside(ssim_map(a, b))
+
+
+def mean_inside(m: np.ndarray) -> float:
+    return float(m[3:-3, 3:-3].mean())
 
 
 def ssim_crop(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> float:
@@ -500,7 +511,10 @@ def ssim_crop(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> float:
 
 def ssim_masked(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> float:
     """The map's mean over the mask."""
-    m = ssim_map(a, b)
+    return mean_over(ssim_map(a, b), mask)
+
+
+def mean_over(m: np.ndarray, mask: np.ndarray) -> float:
     return float(m[mask].mean() if mask.any() else m.mean())
 
 

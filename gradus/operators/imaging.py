@@ -8,6 +8,7 @@ row with processing_status `variant_failed`.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 
@@ -46,11 +47,12 @@ def number(x: float | None) -> float | None:
 
 def measure(x: np.ndarray, clean: np.ndarray, mask: np.ndarray, patch, lesion: np.ndarray | None, around: np.ndarray | None, variant: str = "evaluation") -> dict[str, float | None]:
     """All metrics of one variant; one that fails is null and leaves the others."""
+    ssim = functools.cache(lambda: K.ssim_map(clean, x))  # for two of the metrics
     jobs: dict[str, Callable[[], float]] = {
         "noise_variance": lambda: K.noise_variance(x, patch),
         "tenengrad": lambda: K.tenengrad(x, mask),
-        "ssim_full": lambda: K.ssim_full(clean, x),
-        "ssim_masked": lambda: K.ssim_masked(clean, x, mask),
+        "ssim_full": lambda: K.mean_inside(ssim()),
+        "ssim_masked": lambda: K.mean_over(ssim(), mask),
         "ssim_crop": lambda: K.ssim_crop(clean, x, mask),
         "tau_nms": lambda: K.tau_nms(x, mask),
         "tau_extrema": lambda: K.tau_extrema(x, mask),
@@ -69,13 +71,22 @@ def measure(x: np.ndarray, clean: np.ndarray, mask: np.ndarray, patch, lesion: n
     return out
 
 
-def variants(row: dict, specs: list[tuple], scorer: Callable[[np.ndarray], float], base_seed: int, patch_size: int, margin: int, variant: str) -> Iterator[dict]:
+def sizes_of(shape: tuple[int, int]) -> tuple[int, int, int]:
+    """Closing width, least object and largest hole of the breast mask: 15, 4096 and 8192 on a canvas of 1024 x 384, others in proportion."""
+    part = shape[0] * shape[1] / (1024 * 384)
+    return max(1, round(15 * part**0.5)) | 1, round(4096 * part), round(8192 * part)
+
+
+def variants(row: dict, specs: list[tuple], scorer: Callable[[np.ndarray], float], base_seed: int, patch_size: int, margin: int, variant: str, morphology: tuple[int, int, int] | None = None, stretch: bool = False) -> Iterator[dict]:
     """The rows of one image."""
     try:
-        x = K.unit_range(to_image(row["data"], row["h"], row["w"]))
-        small = x.size < 256 * 256  # the sizes of morphology are for full canvases
-        mask = K.breast_mask(x, closing=3 if small else 15, least_object=64 if small else 4096, most_hole=128 if small else 8192, diagonal=variant == "toolkit")
-        patch = K.tissue_patch(x, mask, patch_size, margin) if mask.any() else None
+        x = to_image(row["data"], row["h"], row["w"])
+        x = K.unit_range(x) if stretch else K.clip01(x)
+        closing, least_object, most_hole = morphology or sizes_of(x.shape)
+        mask = K.breast_mask(x, closing=closing, least_object=least_object, most_hole=most_hole, diagonal=variant == "toolkit")
+        boxes = [tuple(int(v) for v in b) for b in [row.get("lesion"), *(row["others"] if row.get("others") is not None else [])] if b is not None and len(b) == 4]
+        avoid = K.lesions_dilated(x.shape, boxes) if variant == "toolkit" and boxes else None
+        patch = K.tissue_patch(x, mask, patch_size, margin, avoid) if mask.any() else None
         inside = x[patch[1] : patch[3], patch[0] : patch[2]] if patch else x[mask] if mask.any() else x
         sigma0 = float(inside.std())
         lesion = around = None
@@ -91,7 +102,10 @@ def variants(row: dict, specs: list[tuple], scorer: Callable[[np.ndarray], float
         out = {"image_id": row["image_id"], "degradation_type": name, "severity": severity, "parameter_name": parameter, "parameter_value": value, **flags}
         try:
             y = K.degrade(x, name, value, mask, sigma0, base_seed + int(row["image_id"]) * 1000 + idx, variant)
-            logit = number(scorer(y))
+            try:
+                logit = number(scorer(y))
+            except Exception as e:  # noqa: BLE001  a scorer that fails gives a null logit and leaves the metrics
+                logit, out["error_message"] = None, f"scorer: {type(e).__name__}: {e}"[:500]
             out |= {"logit": logit, "prob": None if logit is None else float(1 / (1 + np.exp(-logit)))}
             out |= measure(y, x, mask, patch, lesion, around, variant)
             out["processing_status"] = "OK"
@@ -100,11 +114,13 @@ def variants(row: dict, specs: list[tuple], scorer: Callable[[np.ndarray], float
         yield out
 
 
-def evaluate(images: DataFrame, scorer: str = "linear", base_seed: int = 42, patch_size: int = 96, margin: int = 80, variant: str = "evaluation", surrogate: bool = False, rows_per_batch: int = 16) -> DataFrame:
+def evaluate(images: DataFrame, scorer: str = "linear", base_seed: int = 42, patch_size: int = 96, margin: int = 80, variant: str = "evaluation", surrogate: bool = False, rows_per_batch: int = 16, morphology: tuple[int, int, int] | None = None, stretch: bool = False) -> DataFrame:
     """31 rows per image (IMAGE columns): one per variant, or one for an image that fails.
 
     A canvas is 1.6 MB, so batches are cut to rows_per_batch images before Python holds them.
-    surrogate puts wavelet_quant, under its own name, where no JPEG 2000 codec is registered.
+    surrogate puts wavelet_quant, under its own name, where no JPEG 2000 codec is registered. Pixels
+    are taken as they are, cut to 0..1; stretch scales each image to its own range first. morphology
+    (see sizes_of) fixes the mask's sizes. The pass is as parallel as images has partitions.
     """
     specs = [(i, "wavelet_quant" if n == "jpeg2000" and surrogate else n, *r) for i, n, *r in degradation.specs()]
     score = SCORERS[scorer]
@@ -116,7 +132,7 @@ def evaluate(images: DataFrame, scorer: str = "linear", base_seed: int = 42, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows_per_batch):
-                rows = [r for row in batch.slice(at, rows_per_batch).to_pylist() for r in variants(row, specs, score, base_seed, patch_size, margin, variant)]
+                rows = [r for row in batch.slice(at, rows_per_batch).to_pylist() for r in variants(row, specs, score, base_seed, patch_size, margin, variant, morphology, stretch)]
                 yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     return images.select(*fields).mapInArrow(run, OUT)
@@ -134,14 +150,15 @@ def phantom(seed: int, h: int = 64, w: int = 48) -> tuple[bytes, list[int]]:
 
 
 def phantoms(ids: DataFrame, id_col: str, h: int = 64, w: int = 48) -> DataFrame:
-    """A phantom per id."""
+    """A phantom per id. Ids are few bytes and images dear, so ids are dealt to four tasks a core first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             made = [phantom(int(i), h, w) for i in pdf["image_id"]]
             yield pd.DataFrame({"image_id": pdf["image_id"], "h": h, "w": w, "data": [d for d, _ in made], "lesion": [b for _, b in made], "others": [[] for _ in made]})
 
-    return ids.select(F.col(id_col).cast("long").alias("image_id")).mapInPandas(run, IMAGE)
+    few = ids.select(F.col(id_col).cast("long").alias("image_id"))
+    return few.repartition(4 * ids.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, IMAGE)
 
 
 def summaries(measured: DataFrame) -> DataFrame:
