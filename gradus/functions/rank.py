@@ -7,8 +7,10 @@ bucket totals. No window ever spans a whole group of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,5 +96,36 @@ def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, least: int =
     return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("rx", "ry")).alias("rho"))
 
 
+def _tail(t: float, v: float) -> float:
+    """The chance that Student's t with v degrees of freedom is farther from 0 than t: a continued fraction of the incomplete beta function."""
+    a, b, x = v / 2, 0.5, v / (v + t * t)
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if flipped := x > (a + 1) / (a + b + 2):
+        a, b, x = b, a, 1 - x
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 400):
+        for e in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + e * d or tiny)
+            c = 1 + e / c or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    part = h * math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    return 1 - part if flipped else part
+
+
+def p_value(rho: str, n: str) -> Column:
+    """The two-sided p-value of a rank correlation over n pairs, by Student's t with n - 2 degrees of freedom; null without a correlation."""
+
+    @F.pandas_udf("double")
+    def run(r: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or x != x or m < 3 else 0.0 if abs(x) >= 1 else _tail(x * math.sqrt((m - 2) / (1 - x * x)), m - 2.0) for x, m in zip(r, k, strict=True)], dtype="float64")
+
+    return run(rho, n)  # a row per correlation
+
+
 def stars(p: Column) -> Column:
     return F.when(p < 1e-3, "***").when(p < 1e-2, "**").when(p < 5e-2, "*").otherwise("")

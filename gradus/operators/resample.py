@@ -61,8 +61,18 @@ def weighted_auc(order: np.ndarray, starts: np.ndarray, y: np.ndarray, weights:
         return np.where(total > 0, (pos * below).sum(axis=1) / total, np.nan)
 
 
+def weighted_ap(order: np.ndarray, starts: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Average precision of each row of weights, with the order and starts of weighted_auc. NaN without positives."""
+    w = weights[:, order]
+    pos, neg = (np.add.reduceat(w * side[order], starts, axis=1)[:, ::-1] for side in (y, 1 - y))
+    found, all_ = np.cumsum(pos, axis=1), np.cumsum(pos + neg, axis=1)
+    total = found[:, -1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(total > 0, (pos * np.where(all_ > 0, found / all_, 0)).sum(axis=1) / total, np.nan)
+
+
 def bootstrap_auc(df: DataFrame, groups: Sequence[str], draws: int, seed: int, cluster: str | None = None, score: str = "logit", label: str = "label_45", key: str = "image_id", chunk: int = 50) -> DataFrame:
-    """groups, draw, auc: AUC of each draw, with rows (or clusters) drawn with replacement.
+    """groups, draw, auc, ap: AUC and average precision of each draw, with rows (or clusters) drawn with replacement.
 
     Every group draws from the same generator over the sorted clusters, so draws pair across groups
     with the same clusters. A group is one condition of the study, whose rows one task holds; rows
@@ -81,13 +91,15 @@ def bootstrap_auc(df: DataFrame, groups: Sequence[str], draws: int, seed: int, c
         for at in range(0, draws, chunk):
             n = min(chunk, draws - at)
             times = np.stack([np.bincount(rng.integers(0, len(units), len(units)), minlength=len(units)) for _ in range(n)])
-            found.append(weighted_auc(order, starts, y, times[:, unit].astype(float)))
-        out = pd.DataFrame({"draw": np.arange(draws), "auc": np.concatenate(found)})
+            weights = times[:, unit].astype(float)
+            found.append((weighted_auc(order, starts, y, weights), weighted_ap(order, starts, y, weights)))
+        auc, ap = map(np.concatenate, zip(*found, strict=True))
+        out = pd.DataFrame({"draw": np.arange(draws), "auc": auc, "ap": ap})
         for g in groups:
             out[g] = pdf[g].iloc[0]
-        return out[[*groups, "draw", "auc"]]
+        return out[[*groups, "draw", "auc", "ap"]]
 
-    return df.select(*groups, *dict.fromkeys([key, *([cluster] if cluster else []), score, label])).groupBy(*groups).applyInPandas(run, f"{fields}, draw int, auc double")
+    return df.select(*groups, *dict.fromkeys([key, *([cluster] if cluster else []), score, label])).groupBy(*groups).applyInPandas(run, f"{fields}, draw int, auc double, ap double")
 
 
 def bootstrap_mean(df: DataFrame, groups: Sequence[str], value: str, draws: int = 600, seed: int = 2026) -> DataFrame:
@@ -110,4 +122,4 @@ def draw_index(weights: Sequence[float], u: Callable[[int], float], n: int) -> l
     return np.searchsorted(edges, [u(k) * edges[-1] for k in range(n)], "right").clip(0, len(edges) - 1).tolist()
 
 
-__all__ = ["bootstrap_auc", "bootstrap_mean", "draw_index", "fixed_weights", "interval", "one_per_group", "portable_hash", "sample", "stratified", "weighted_auc"]
+__all__ = ["bootstrap_auc", "bootstrap_mean", "draw_index", "fixed_weights", "interval", "one_per_group", "portable_hash", "sample", "stratified", "weighted_ap", "weighted_auc"]

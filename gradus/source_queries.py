@@ -16,6 +16,8 @@ from .streaming import ingest
 def _folder(spark) -> str:
     """A new folder that all executors share: in spark.checkpoint.dir, or a temporary one on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="gradus-")
 
 
@@ -47,6 +49,18 @@ def csv_round_trip(spark, sf_dir):
     return back.select(F.col("image_id").cast("long").alias("image_id"), "name", F.col("bal").cast("double").alias("bal"))
 
 
+@query("select o_custkey, dense_rank() over (order by m) - 1 ordinal from (select o_custkey, min(o_orderkey) m from orders group by 1) t", needs_pred=False)
+def first_seen_ordinal(spark, sf_dir):
+    return tables.first_seen(fixtures.tables(spark, sf_dir, "orders")["orders"], "o_custkey", "o_orderkey")
+
+
+@query("""select degradation_type, cast(severity as int) severity, printf('%.4f', 1e4 * avg(ssim)) ssim, count(*) n from test group by 1, 2""")
+def condition_text(spark, sf_dir):
+    """The condition table as it is printed: fixed digits, no separators of thousands."""
+    m = fixtures.pred(spark, sf_dir).where("split = 'test'").groupBy("degradation_type", "severity").agg((F.lit(1e4) * F.avg("ssim")).alias("ssim"), F.count("*").alias("n"))
+    return sinks.condition_table(m)
+
+
 @query("select n_regionkey, n_nationkey, n_name, null::varchar r_name from nation union all select r_regionkey, null, null, r_name from region", needs_pred=False)
 def union_schemas(spark, sf_dir):
     t = fixtures.tables(spark, sf_dir, "nation", "region")

@@ -31,8 +31,8 @@ def union_by_name(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def condition_table(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Every number as text with a fixed number of digits, in the order of the plan: ready to print."""
-    return df.orderBy("degradation_type", "severity").select(*(F.format_number(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Every number as text with a fixed number of digits and no separators, in the order of the plan: ready to print."""
+    return df.orderBy("degradation_type", "severity").select(*(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def markdown(rows: list, columns: list[str]) -> str:

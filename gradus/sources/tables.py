@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.labels import stable_index
+
 
 def normal_name(name: str) -> str:
     return name.replace("﻿", "").strip().lower().replace(" ", "_")
@@ -75,4 +76,5 @@ def manifest(df: DataFrame, split: str) -> DataFrame:
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     """key and its place (from 0) in the order of first appearance."""
     firsts = df.groupBy(key).agg(F.min(order).alias("at"))
-    return firsts.select(key, (F.dense_rank().over(W.orderBy("at")) - 1).alias("ordinal"))
+    places = stable_index(firsts.select("at").distinct(), "at").withColumnRenamed("idx", "ordinal")
+    return firsts.join(places, "at").select(key, "ordinal")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,7 @@ def over_seeds(scores: DataFrame, value: str, ddof: int = 1) -> DataFrame:
     sd = F.stddev_samp(value) if ddof else F.stddev_pop(value)
     m = scores.groupBy("arch", *C).agg(F.avg(value).alias("mean"), sd.alias("sd"), F.count(value).alias("n"))
     clean = m.where("degradation_type = 'clean'")
-    kinds = [n for n in degradation.NAMES if n != "clean"] if hasattr(degradation, "NAMES") else ["noise", "blur", "contrast", "jpeg2000", "resolution"]
-    heads = clean.withColumn("degradation_type", F.explode(F.array(*map(F.lit, kinds))))
+    heads = clean.withColumn("degradation_type", F.explode(F.array(*map(F.lit, degradation.SEVERITIES))))
     series = m.where("degradation_type <> 'clean'").unionByName(heads)
     return series.join(F.broadcast(clean.select("arch", F.col("mean").alias("mean0"))), "arch").withColumn("relative_drop", rank.ratio(F.col("mean0") - F.col("mean"), F.col("mean0"))).drop("mean0")  # a row per architecture
 
@@ -209,13 +209,7 @@ _SSIM = " + ".join(f"(select (2 * mx * my + 1e-4) * (2 * cv + 9e-4) / ((mx * mx
 
 @query(IMG8 + f"select vec_id, round(({_SSIM}) / 4, 4) ssim from (select vec_id, a, list_median(a) m from t) u", needs_pred=False)
 def ssim8(spark, sf_dir):
-    return img8(spark, sf_dir, lambda x: K.ssim_full(x, K.reduce_contrast(x, 0.7, np_ones())), "ssim", 4)
-
-
-def np_ones():
-    import numpy as np
-
-    return np.ones((8, 8), bool)
+    return img8(spark, sf_dir, lambda x: K.ssim_full(x, K.reduce_contrast(x, 0.7, np.ones((8, 8), bool))), "ssim", 4)
 
 
 @query(IMG8 + "select vec_id, round(list_avg(list_transform(a, lambda x: least(greatest((x - lo) / (hi - lo), 0), 1))), 4) win from (select vec_id, a, list_aggregate(a, 'quantile_cont', 0.005) lo, list_aggregate(a, 'quantile_cont', 0.995) hi from t) u", needs_pred=False)
