@@ -56,6 +56,15 @@ def average_precision(df: DataFrame, groups: Sequence[str], score: str = "logit"
     return c.groupBy(*groups).agg(ratio(F.sum(F.col("pos") * precision), F.sum("pos")).alias("ap"))
 
 
+def auc_and_ap(df: DataFrame, groups: Sequence[str], score: str = "logit", label: str = "label_45", weight: str | None = None) -> DataFrame:
+    """groups, n, n_pos, auc, ap from one cumulation of the scores."""
+    c = cumulated(df, groups, score, _sides(label, weight), descending=True)
+    above = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") * F.lit(0.5)))  # negatives above each positive, ties half
+    precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    p, q = F.sum("pos"), F.sum("neg")
+    return c.groupBy(*groups).agg((p + q).alias("n"), p.alias("n_pos"), (F.lit(1.0) - ratio(above, p * q)).alias("auc"), ratio(F.sum(F.col("pos") * precision), p).alias("ap"))
+
+
 def curve(df: DataFrame, groups: Sequence[str], score: str = "logit", label: str = "label_45") -> DataFrame:
     """groups, threshold, tp, fp, tpr, fpr, precision: a point per distinct score and the start at infinity."""
     c = cumulated(df, groups, score, _sides(label, None), descending=True).select(*groups, F.col(score).alias("threshold"), F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))

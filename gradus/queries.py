@@ -107,7 +107,7 @@ def youden_threshold_val(spark, sf_dir):
 
 def severity_metrics(df: DataFrame) -> DataFrame:
     """AUC and AP of each condition, what they lose against clean, and sensitivity at the clean rows' Youden threshold."""
-    m = rank.auc(df, C).join(rank.average_precision(df, C), C)
+    m = rank.auc_and_ap(df, C)
     clean = m.where("degradation_type = 'clean'").select(F.col("auc").alias("auc0"), F.col("ap").alias("ap0"))
     threshold = rank.youden(df.where("degradation_type = 'clean'"), []).select("threshold")
     sens = df.crossJoin(F.broadcast(threshold)).groupBy(*C).agg(rank.ratio(F.count_if((F.col("label_45") == 1) & (F.col("logit") >= F.col("threshold"))), F.count_if(F.col("label_45") == 1)).alias("sensitivity"))  # one row
@@ -220,13 +220,6 @@ def within_severity_rho(spark, sf_dir):
     return r6(rank.spearman(rows, [*C, "metric"], "value", "abs_shift").groupBy("degradation_type", "metric").agg(F.count("rho").alias("n_severities"), F.avg("rho").alias("mean_rho")), "mean_rho")
 
 
-def bridge(df: DataFrame, target: str) -> DataFrame:
-    """Over the 30 degraded conditions: rank correlation of each mean metric with a performance measure."""
-    perf = rank.auc(df, C).join(rank.average_precision(df, C), C)
-    means = df.where("severity > 0").groupBy(*C).agg(*(F.avg(m).alias(m) for m in IQMS)).join(perf, C)
-    return rank.spearman(long_metrics(means, *C, target), ["metric"], "value", target)
-
-
 def _bridge(target: str) -> str:
     un = " union all ".join(f"select degradation_type, severity, '{m}' metric, avg({m}) value from test where severity > 0 group by 1, 2" for m in IQMS)
     return RANK_AUC + f""", m as ({un}), mm as (select metric, value, {target} y from m join aucs using (degradation_type, severity) join aps using (degradation_type, severity)),
@@ -246,7 +239,7 @@ def bridge_rho_ap(spark, sf_dir):
 
 def _bridged(spark, sf_dir, target):
     df = test_rows(spark, sf_dir)
-    perf = rank.auc(df, C).join(rank.average_precision(df, C), C)
+    perf = rank.auc_and_ap(df, C)
     means = df.where("severity > 0").groupBy(*C).agg(*(F.round(F.avg(m), 12).alias(m) for m in IQMS)).join(perf, C).withColumn(target, F.round(target, 12))
     return rank.spearman(long_metrics(means, *C, target), ["metric"], "value", target)
 

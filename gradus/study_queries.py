@@ -147,7 +147,7 @@ def lesion_rho_unflagged(spark, sf_dir):
 # --- training, parameters, expectations
 
 
-@query("+k as (select degradation_type, severity, count(*) filter (prob >= 5e-1 and label_45 = 1) tp, count(*) filter (prob >= 5e-1 and label_45 = 0) fp, count(*) filter (prob < 5e-1 and label_45 = 1) fn, count(*) n from test group by 1, 2) select degradation_type, cast(severity as int) severity, round((n - fp - fn) / n, 6) accuracy, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) precision, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1 from k")
+@query("+k as (select degradation_type, severity, count(*) filter (prob >= 5e-1 and label_45 = 1) tp, count(*) filter (prob >= 5e-1 and label_45 = 0) fp, count(*) filter (prob < 5e-1 and label_45 = 1) fn, count(*) n from test group by 1, 2) select degradation_type, cast(severity as int) severity, round((n - fp - fn) / n, 6) accuracy, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as \"precision\", round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1 from k")
 def training_metrics(spark, sf_dir):
     """As training reports them: what has no denominator is 0."""
     yes, sick = F.col("prob") >= 0.5, F.col("label_45") == 1
