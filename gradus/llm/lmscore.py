@@ -103,11 +103,12 @@ def count_pairs(docs: DataFrame, text_col: str, classes: Classes, part: int = 1
     return out.reshape(k, k)
 
 
-def train(counts: np.ndarray, size: int = 48, steps: int = 160, rate: float = 0.05, noise: float = 20.0, drawn: int = 1024, seed: int = 7) -> np.ndarray:
+def train(counts: np.ndarray, size: int = 32, steps: int = 80, rate: float = 0.04, noise: float = 20.0, drawn: int = 2048, prior: float = 5.0, seed: int = 7) -> np.ndarray:
     """log10 P(class | context), of the shape of counts, from how often each of k classes follows each context.
 
     There are k ** m contexts, numbered by their m classes. A step draws `drawn` noise classes for all
-    contexts. Contexts that never occur take no part in training but are scored.
+    contexts. Vectors have a normal prior of precision `prior`, which weighs less the more tokens there are.
+    Contexts that never occur take no part in training but are scored.
     """
     k = counts.shape[1]
     order = next(m for m in range(1, 64) if k**m >= len(counts))
@@ -145,6 +146,8 @@ def train(counts: np.ndarray, size: int = 48, steps: int = 160, rate: float = 0.
                 grads["e"][at] += back  # each context has its own row
             else:
                 np.add.at(grads["e"], at, back)
+        for n in ("e", "q"):
+            grads[n] -= (prior / total) * p[n]
         pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))  # slower in the second half
         for n, d in grads.items():  # Adam, uphill
             m1[n] = 0.9 * m1[n] + 0.1 * d
