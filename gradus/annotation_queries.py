@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import boxes, calibration, rank
 from .operators import labels, resample, trainlog
 from .plans import fixtures
-from .queries import C, IQMS, ORACLES, QUERIES, paired, query, r6, severity_metrics, test_rows
+from .queries import C, IQMS, ORACLES, QUERIES, paired, query, r6, test_rows
 
 ANN = f"with ann as ({fixtures.ANNOTATIONS}) "
 LES = f"with les as ({fixtures.LESIONS}), ok as (select *, cast(x2 - x1 as bigint) * (y2 - y1) area, row_number() over (partition by image_id, pos order by x1, y1, x2, y2, laterality, finding) rn from les where x2 > x1 and y2 > y1) "
