@@ -25,6 +25,11 @@ def test_window_of_flat_images():
     assert K.fixed_window(np.full((4, 4), 3.0)) == (3.0, 4.0)
 
 
+def test_otsu_takes_the_lowest_of_equal_partings():
+    v = np.array([1, 85, 116, 200]) / 201  # either end alone parts them equally well; sums differ in their last bits
+    assert K.otsu(v) < v[1]
+
+
 def test_breast_mask_finds_the_rectangle():
     x = np.zeros((256, 256), np.float32)
     x[50:200, 30:180] = 1000
