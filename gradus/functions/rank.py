@@ -8,9 +8,12 @@ bucket totals. No window ever spans a whole group of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,6 +108,110 @@ def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, least: int =
     return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, pearson("rx", "ry")).alias("rho"))
 
 
+def _centred_ranks(counts: np.ndarray) -> np.ndarray:
+    """Mean ranks less their own mean, of sorted distinct values that occur counts times."""
+    return np.cumsum(counts) - (counts - 1) / 2 - (counts.sum() + 1) / 2
+
+
+class _Ranks:
+    """Ranks of the distinct values of one group's columns: of each column against any other, over the rows where neither is null."""
+
+    def __init__(self, counted: pd.DataFrame):
+        """counted: col, value, mask (a bit for each column that is null in those rows), n."""
+        self.values, self.counts = {}, {}
+        for col, part in counted.groupby("col"):
+            self.values[col], at = np.unique(part["value"].to_numpy(), return_inverse=True)
+            self.counts[col] = {m: np.bincount(at[rows], part["n"].to_numpy()[rows], len(self.values[col])) for m in part["mask"].unique() for rows in [np.flatnonzero(part["mask"].to_numpy() == m)]}
+        self.ranks = {}
+
+    def of(self, col: int, other: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Counts and centred ranks of col's values in the rows that have other, too; None if there are none."""
+        masks = tuple(sorted(m for m in self.counts.get(col, {}) if not m >> other & 1))
+        if masks and (col, masks) not in self.ranks:
+            counts = reduce(np.add, (self.counts[col][m] for m in masks))
+            self.ranks[col, masks] = counts, _centred_ranks(counts)
+        return self.ranks.get((col, masks))
+
+
+def spearman_many(df: DataFrame, groups: Sequence[str], xs: Sequence[str], ys: Sequence[str], least: int = 10, most: int = 6_000_000) -> DataFrame:
+    """groups, x, y (names of columns), n, rho: spearman() of every x with every y, without a shuffle of the rows.
+
+    Rows are read twice: to count the distinct values of each group's columns, and to multiply the ranks that these
+    counts give. Groups are taken together up to `most` distinct values, which travel to the driver and the workers;
+    the rows of a group with more of them are ranked by spearman(). df has to give the same rows each time.
+    """
+    spark, cols = df.sparkSession, [*xs, *ys]
+    plain = df.select(*groups, *(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols))
+    mask = reduce(Column.bitwiseOR, (F.when(F.col(c).isNull(), 1 << k).otherwise(0) for k, c in enumerate(cols)))
+    stacked = plain.select(*groups, mask.alias("mask"), F.stack(F.lit(len(cols)), *(e for k, c in enumerate(cols) for e in (F.lit(k), F.col(c)))).alias("col", "value"))
+    counted = stacked.where("value is not null").groupBy(*groups, "mask", "col", "value").agg(F.count("*").alias("n")).persist()
+    sizes = counted.groupBy(*groups).agg(F.count("*").alias("size")).collect()  # a row per group
+    found, batch, held = [], [], 0
+    is_group = lambda g: reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(groups, g, strict=True)), F.lit(True))
+
+    def finish() -> None:
+        if batch:
+            found.extend(_correlated(plain, counted, [(g, is_group(g)) for g in batch], cols, len(xs), least))
+
+    for r in sorted(sizes, key=lambda r: repr(tuple(r))):
+        g = tuple(r)[:-1]
+        if r["size"] > most:
+            for y in ys:
+                long = plain.where(is_group(g)).unpivot([*groups, y], list(xs), "of", "value")
+                found.extend((*g, t["of"], y, t["n"], t["rho"]) for t in spearman(long, [*groups, "of"], "value", y, least).collect())  # a row per x
+            continue
+        if held + r["size"] > most:
+            finish()
+            batch, held = [], 0
+        batch.append(g)
+        held += r["size"]
+    finish()
+    counted.unpersist()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in groups for f in [df.schema[c]])
+    return spark.createDataFrame(found, (fields + ", " if groups else "") + "x string, y string, n bigint, rho double")
+
+
+def _correlated(plain: DataFrame, counted: DataFrame, groups: list[tuple[tuple, Column]], cols: list[str], n_xs: int, least: int) -> list[tuple]:
+    """The rows of spearman_many for these groups and their conditions."""
+    context = plain.sparkSession.sparkContext
+    gid = reduce(lambda rest, k: F.when(groups[k][1], k).otherwise(rest), range(len(groups)), F.lit(None).cast("int")).alias("gid")
+    table = counted.select(gid, "mask", "col", "value", "n").where("gid is not null").toArrow().to_pandas()  # bounded by most
+    ranks = {k: _Ranks(part) for k, part in table.groupby("gid")}
+    pairs = [(x, y) for x in range(n_xs) for y in range(n_xs, len(cols))]
+    for r in ranks.values():
+        for x, y in pairs:
+            r.of(x, y), r.of(y, x)
+    sent = context.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, int], float] = {}
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            numbers = [b.column(k + 1).to_numpy(zero_copy_only=False).astype(float, copy=False) for k in range(len(cols))]
+            for g in np.unique(ids):
+                own, rows = sent.value[g], np.flatnonzero(ids == g)
+                here = [c[rows] for c in numbers]
+                null = [np.isnan(c) for c in here]
+                at = [np.minimum(np.searchsorted(own.values[k], c), len(own.values[k]) - 1) if k in own.values else None for k, c in enumerate(here)]  # nulls anywhere
+                for x, y in pairs:
+                    if (of_x := own.of(x, y)) and (of_y := own.of(y, x)):
+                        products = of_x[1][at[x]] * of_y[1][at[y]]
+                        sums[g, x, y] = sums.get((g, x, y), 0.0) + float(products[~(null[x] | null[y])].sum())
+        keys = list(sums)
+        yield pa.record_batch([pa.array([int(k[i]) for k in keys], pa.int32()) for i in range(3)] + [pa.array([sums[k] for k in keys], pa.float64())], names=["gid", "x", "y", "s"])
+
+    condition = reduce(Column.__or__, (c for _, c in groups))
+    rows = plain.where(condition).select(gid, *cols).mapInArrow(run, "gid int, x int, y int, s double")
+    sums = {(r["gid"], r["x"], r["y"]): r["s"] for r in rows.groupBy("gid", "x", "y").agg(F.sum("s").alias("s")).collect()}  # a row per correlation
+    sent.destroy()
+    out = []
+    for (g, x, y), s in sorted(sums.items()):
+        (nx, rx), (ny, ry) = ranks[g].of(x, y), ranks[g].of(y, x)
+        n, spread = int(nx.sum()), float(np.sqrt((nx * rx * rx).sum()) * np.sqrt((ny * ry * ry).sum()))
+        out.append((*groups[g][0], cols[x], cols[y], n, s / spread if n >= least and spread > 0 else None))
+    return out
+
+
 def _tail(t: float, v: float) -> float:
     """The chance that Student's t with v degrees of freedom is farther from 0 than t: a continued fraction of the incomplete beta function."""
     a, b, x = v / 2, 0.5, v / (v + t * t)

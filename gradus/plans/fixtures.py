@@ -16,15 +16,17 @@ from (values ('noise',1,6e-1),('blur',2,5e-1),('contrast',3,2e-2),('jpeg2000',4,
 cross join (values (1,95e-2,3e0,95e-2,10e0,9e-1),(2,85e-2,5e0,9e-1,25e0,8e-1),(3,75e-2,7e0,85e-2,50e0,7e-1),
                    (4,65e-2,11e0,8e-1,100e0,6e-1),(5,5e-1,15e0,75e-2,250e0,5e-1),(6,35e-2,21e0,7e-1,500e0,4e-1)) b(sev,noise,blur,alpha,cr,res)"""
 
-PRED = f"""
-with plan as ({PLAN}),
-img as (
+IMG = """
   select o_orderkey image_id, o_custkey study_id, o_orderstatus density, c_mktsegment manufacturer,
          case when o_orderkey % 5 = 0 then 'val' else 'test' end split,
          case when o_orderpriority = '1-URGENT' then (case when o_orderkey % 2 = 0 then 5 else 4 end)
               when o_orderpriority = '2-HIGH' then 3 else 1 end breast_birads,
          ((o_orderkey * 7919) % 10007) / 10007e0 h1, ((o_orderkey * 104729) % 9973) / 9973e0 h3
-  from orders join customer on o_custkey = c_custkey),
+  from orders join customer on o_custkey = c_custkey"""
+
+PRED = f"""
+with plan as ({PLAN}),
+img as ({IMG}),
 b as (
   select i.*, p.*, case when breast_birads >= 4 then 1 else 0 end label_45, case when breast_birads >= 5 then 1 else 0 end label_5,
          ((image_id * 31 + ti * 1009 + severity * 131) % 997) / 997e0 h2,
@@ -80,8 +82,16 @@ def from_sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFr
     return spark.sql(text, **bound)
 
 
-def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, PRED, "orders", "customer")
+def pred(spark: SparkSession, sf_dir: str, by_image: bool = False) -> DataFrame:
+    """The predictions. by_image shuffles the images before they are expanded, so that joins by image need not shuffle 31 rows of each.
+
+    Such tasks are few and long: what they count of distinct values is combined before it is shuffled.
+    """
+    if not by_image:
+        return from_sql(spark, sf_dir, PRED, "orders", "customer")
+    images = from_sql(spark, sf_dir, IMG, "orders", "customer")
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    return spark.sql(PRED.replace(IMG, "select * from {images}"), images=images.repartition(n, "image_id"))
 
 
 def lesions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ def query(sql: str | None = None, needs_pred: bool = True):
     return add
 
 
-def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.pred(spark, sf_dir).where("split = 'test'")
+def test_rows(spark: SparkSession, sf_dir: str, by_image: bool = False) -> DataFrame:
+    return fixtures.pred(spark, sf_dir, by_image).where("split = 'test'")
 
 
 def r6(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -183,7 +183,7 @@ def threshold_metrics(spark, sf_dir):
 def paired(df: DataFrame, key: str = "image_id") -> DataFrame:
     """Degraded rows with the logit, probability and quality of the same image's clean row, and the shifts."""
     clean = df.where("degradation_type = 'clean'").select(key, *(F.col(c).alias(f"clean_{c}") for c in ("logit", "prob", *IQMS)))
-    out = df.where("degradation_type <> 'clean'").join(clean, key)
+    out = df.where("degradation_type <> 'clean'").join(clean.hint("shuffle_hash"), key)  # a row per image; no sort of the others
     error, error0 = F.abs(F.col("label_45") - F.col("prob")), F.abs(F.col("label_45") - F.col("clean_prob"))
     return out.withColumns({"shift": F.col("logit") - F.col("clean_logit"), "abs_shift": F.abs(F.col("logit") - F.col("clean_logit")), "error_shift": error - error0, "abs_error_shift": F.abs(error - error0)})
 
@@ -197,6 +197,11 @@ def prediction_shift(spark, sf_dir):
     return r6(paired(test_rows(spark, sf_dir)).groupBy(*C).agg(F.count("*").alias("n"), F.avg("shift").alias("mean_shift"), F.avg("abs_shift").alias("mean_abs_shift"), F.median("abs_shift").alias("median_abs_shift"), F.avg("error_shift").alias("mean_error_shift")), "mean_shift", "mean_abs_shift", "median_abs_shift", "mean_error_shift")
 
 
+def followed(spark, sf_dir, groups: list[str], *targets: str) -> DataFrame:
+    """groups, metric, target, n, rho: how each quality metric follows each shift of degraded rows."""
+    return rank.spearman_many(paired(test_rows(spark, sf_dir, by_image=True)), groups, IQMS, targets).withColumnsRenamed({"x": "metric", "y": "target"})
+
+
 def long_metrics(df: DataFrame, *keep: str) -> DataFrame:
     """A row per metric: one pass over ranks serves them all."""
     return df.unpivot(list(keep), IQMS, "metric", "value").where("value is not null")
@@ -210,14 +215,12 @@ rho as (select {groups}, count(*) n, case when count(*) >= 10 and var_pop(rx) >
 
 @query(SHIFT + _rho("degradation_type, metric", "abs_shift") + " select degradation_type, metric, n, round(rho, 6) rho from rho")
 def iqm_shift_spearman(spark, sf_dir):
-    rows = long_metrics(paired(test_rows(spark, sf_dir)), "degradation_type", "abs_shift")
-    return r6(rank.spearman(rows, ["degradation_type", "metric"], "value", "abs_shift"), "rho")
+    return r6(followed(spark, sf_dir, ["degradation_type"], "abs_shift").drop("target"), "rho")
 
 
 @query(SHIFT + _rho("degradation_type, severity, metric", "abs_shift") + " select degradation_type, metric, cast(count(rho) as bigint) n_severities, round(avg(rho), 6) mean_rho from rho group by 1, 2")
 def within_severity_rho(spark, sf_dir):
-    rows = long_metrics(paired(test_rows(spark, sf_dir)), *C, "abs_shift")
-    return r6(rank.spearman(rows, [*C, "metric"], "value", "abs_shift").groupBy("degradation_type", "metric").agg(F.count("rho").alias("n_severities"), F.avg("rho").alias("mean_rho")), "mean_rho")
+    return r6(followed(spark, sf_dir, C, "abs_shift").groupBy("degradation_type", "metric").agg(F.count("rho").alias("n_severities"), F.avg("rho").alias("mean_rho")), "mean_rho")
 
 
 def _bridge(target: str) -> str:
@@ -246,8 +249,7 @@ def _bridged(spark, sf_dir, target):
 
 @query(SHIFT + _rho("degradation_type, metric", "error_shift") + " select degradation_type, metric, n, round(rho, 4) rho from rho")
 def alt_error_shift_matrix(spark, sf_dir):
-    rows = long_metrics(paired(test_rows(spark, sf_dir)), "degradation_type", "error_shift")
-    return r6(rank.spearman(rows, ["degradation_type", "metric"], "value", "error_shift"), "rho", digits=4)
+    return r6(followed(spark, sf_dir, ["degradation_type"], "error_shift").drop("target"), "rho", digits=4)
 
 
 @query(SHIFT + " select degradation_type, " + ", ".join(f"round(avg(case when severity = {s} then error_shift end), 6) s{s}" for s in range(1, 7)) + " from sh group by 1")

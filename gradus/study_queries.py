@@ -11,7 +11,7 @@ from .functions import rank
 from .image_queries import IMG8, _at, img8
 from .operators import resample
 from .plans import degradation, fixtures
-from .queries import C, RQ1, SHIFT, _rho, lesion_rows, long_metrics, paired, query, r6, severity_metrics, test_rows
+from .queries import C, RQ1, SHIFT, _rho, followed, lesion_rows, long_metrics, query, r6, severity_metrics, test_rows
 
 # The architectures and seeds of the grid, with the stand-in's scale and spread of each.
 ARCHITECTURES = "(values ('convnext_tiny', 0, 1e0, 5e-1), ('resnet18', 1, 7e-1, 15e-1), ('efficientnet_b4', 2, 8e-1, 1e0)) a(arch, pos, scale, spread) cross join (values (42), (43), (44)) s(seed)"
@@ -63,8 +63,7 @@ p as (select degradation_type, metric, 1 - 2 * sum((case when i in (0, 2000) the
 
 @query(SHIFT + _rho("degradation_type, metric", "abs_shift") + _P + " select degradation_type, metric, n, round(rho, 6) rho, round(greatest(p, 0), 5) + 0e0 p, case when round(greatest(p, 0), 5) < 1e-3 then '***' when round(greatest(p, 0), 5) < 1e-2 then '**' when round(greatest(p, 0), 5) < 5e-2 then '*' else '' end stars from rho join p using (degradation_type, metric)")
 def shift_significance(spark, sf_dir):
-    rows = long_metrics(paired(test_rows(spark, sf_dir)), "degradation_type", "abs_shift")
-    found = rank.spearman(rows, ["degradation_type", "metric"], "value", "abs_shift").withColumn("p", F.round(rank.p_value("rho", "n"), 5))
+    found = followed(spark, sf_dir, ["degradation_type"], "abs_shift").drop("target").withColumn("p", F.round(rank.p_value("rho", "n"), 5))
     return r6(found.withColumn("stars", rank.stars(F.col("p"))), "rho")
 
 
@@ -83,8 +82,8 @@ _BOTH = SHIFT + _rho("degradation_type, metric", "abs_shift") + _second(_rho("de
 
 def matrices(spark, sf_dir) -> DataFrame:
     """degradation_type, metric, x and y: rank correlation of each metric with the absolute logit shift and absolute error shift."""
-    shifts = paired(test_rows(spark, sf_dir))
-    one = lambda target, name: rank.spearman(long_metrics(shifts, "degradation_type", target), ["degradation_type", "metric"], "value", target).select("degradation_type", "metric", F.round("rho", 4).alias(name))
+    both = followed(spark, sf_dir, ["degradation_type"], "abs_shift", "abs_error_shift")
+    one = lambda target, name: both.where(F.col("target") == target).select("degradation_type", "metric", F.round("rho", 4).alias(name))
     return one("abs_shift", "x").join(one("abs_error_shift", "y"), ["degradation_type", "metric"])
 
 

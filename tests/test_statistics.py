@@ -1,6 +1,7 @@
 """Ranks, calibration and resampling against plain definitions and invariants."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,26 @@ def test_registered_bootstraps_take_the_references_draws(spark, sf, monkeypatch,
     assert taken == [draws]
     if "draws" in out.columns:
         assert out.agg({"draws": "max"}).first()[0] == draws
+
+
+def test_many_rank_correlations_without_shuffling_rows(spark):
+    """Ties, nulls, NaN and a group too large for its distinct values to travel: as scipy-like ranks give, pair by pair."""
+    rng = np.random.default_rng(3)
+    g = pd.DataFrame({"g": rng.choice(["a", "b"], 400), "x1": rng.integers(0, 9, 400).astype(float), "x2": rng.random(400), "y": rng.integers(0, 40, 400) / 8})
+    rows = [tuple(None if c == "x1" and i % 7 == 0 else float("nan") if c == "x2" and i % 11 == 0 else v for c, v in zip(g.columns, r, strict=True)) for i, r in enumerate(g.itertuples(index=False))]
+    df = spark.createDataFrame(rows, "g string, x1 double, x2 double, y double")
+    for most in (10_000, 100):
+        found = {(r["g"], r["x"]): (r["n"], round(r["rho"], 9)) for r in rank.spearman_many(df, ["g"], ["x1", "x2"], ["y"], most=most).collect()}
+        plain = pd.DataFrame(rows, columns=g.columns)
+        for (name, x), got in found.items():
+            part = plain[plain["g"] == name][[x, "y"]].dropna().astype(float)
+            assert got == (len(part), round(part[x].rank().corr(part["y"].rank()), 9))
+        assert len(found) == 4
+
+
+def test_pairs_of_images_shuffle_no_expanded_rows(spark, sf):
+    from gradus import queries
+
+    text = queries.paired(queries.test_rows(spark, sf, by_image=True))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text
+    assert all("REPARTITION_BY_NUM" in line or "Broadcast" in line for line in text.splitlines() if "Exchange" in line)
