@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def weighted_ap(order: np.ndarray, starts: np.ndarray, y: np.ndarray, weights: n
         return np.where(total > 0, (pos * np.where(all_ > 0, found / all_, 0)).sum(axis=1) / total, np.nan)
 
 
-def bootstrap_auc(df: DataFrame, groups: Sequence[str], draws: int, seed: int, cluster: str | None = None, score: str = "logit", label: str = "label_45", key: str = "image_id", chunk: int = 50) -> DataFrame:
+def bootstrap_auc(df: DataFrame, groups: Sequence[str], draws: int, seed: int, cluster: str | None = None, score: str = "logit", label: str = "label_45", key: str = "image_id") -> DataFrame:
     """groups, draw, auc, ap: AUC and average precision of each draw, with rows (or clusters) drawn with replacement.
 
     Every group draws from the same generator over the sorted clusters, so draws pair across groups
@@ -80,26 +81,41 @@ def bootstrap_auc(df: DataFrame, groups: Sequence[str], draws: int, seed: int, c
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([cluster or key, key])
-        units, unit = np.unique(pdf[cluster or key].to_numpy(), return_inverse=True)
-        y, s = pdf[label].to_numpy(float), pdf[score].to_numpy(float)
-        order = np.argsort(s, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(s[order]) > 0])
+    def run(table: pa.Table) -> pa.Table:
+        by = table.column(cluster or key).to_numpy()
+        s, y = table.column(score).to_numpy().astype(float), table.column(label).to_numpy() == 1
+        units, unit = np.unique(by, return_inverse=True)
+        drawn = DrawnRanks(unit, s, y)
         rng = np.random.default_rng(seed)
-        found = []
-        for at in range(0, draws, chunk):
-            n = min(chunk, draws - at)
-            times = np.stack([np.bincount(rng.integers(0, len(units), len(units)), minlength=len(units)) for _ in range(n)])
-            weights = times[:, unit].astype(float)
-            found.append((weighted_auc(order, starts, y, weights), weighted_ap(order, starts, y, weights)))
-        auc, ap = map(np.concatenate, zip(*found, strict=True))
-        out = pd.DataFrame({"draw": np.arange(draws), "auc": auc, "ap": ap})
-        for g in groups:
-            out[g] = pdf[g].iloc[0]
-        return out[[*groups, "draw", "auc", "ap"]]
+        found = np.array([drawn.auc_and_ap(np.bincount(rng.integers(0, len(units), len(units)), minlength=len(units))) for _ in range(draws)]).reshape(draws, 2)
+        out = {g: pa.array([table.column(g)[0].as_py()] * draws, table.schema.field(g).type) for g in groups}
+        return pa.table(out | {"draw": pa.array(np.arange(draws, dtype=np.int32)), "auc": pa.array(found[:, 0]), "ap": pa.array(found[:, 1])})
+
+    return df.select(*groups, *dict.fromkeys([key, *([cluster] if cluster else []), score, label])).groupBy(*groups).applyInArrow(run, f"{fields}, draw int, auc double, ap double")
+
+
+class DrawnRanks:
+    """weighted_auc and weighted_ap of draws of clusters: scores are sorted once, a draw is sums of whole numbers along them."""
+
+    def __init__(self, unit: np.ndarray, s: np.ndarray, y: np.ndarray):
+        """unit is the cluster of each row, s its score, y whether it is positive."""
+        order = np.argsort(-s, kind="stable")
+        s, y, unit = -s[order], y[order].astype(bool), unit[order].astype(np.int32)
+        self.pos, self.neg = unit[y], unit[~y]
+        self.before, self.until = (np.searchsorted(s[~y], s[y], side).astype(np.int32) for side in ("left", "right"))  # negatives above each positive, and not below it
+        self.last = (np.searchsorted(s[y], s[y], "right") - 1).astype(np.int32)  # the last positive of each one's score
 
-    return df.select(*groups, *dict.fromkeys([key, *([cluster] if cluster else []), score, label])).groupBy(*groups).applyInPandas(run, f"{fields}, draw int, auc double, ap double")
+    def auc_and_ap(self, times: np.ndarray) -> tuple[float, float]:
+        """times: how often the draw has each cluster."""
+        times = times.astype(np.uint8 if times.max(initial=0) < 256 else np.int64)  # small, so that a processor's cache holds them
+        hits = times.take(self.pos).astype(np.int64)
+        others = np.zeros(len(self.neg) + 1, np.int64)
+        np.cumsum(times.take(self.neg), out=others[1:])
+        until, found = others[self.until], np.cumsum(hits)
+        if not len(found) or not found[-1]:
+            return np.nan, np.nan
+        ap = (hits * (found[self.last] / np.maximum(found[self.last] + until, 1))).sum() / found[-1]
+        return 1 - (hits * (others[self.before] + until)).sum() / 2 / (found[-1] * others[-1]) if others[-1] else np.nan, ap
 
 
 def bootstrap_mean(df: DataFrame, groups: Sequence[str], value: str, draws: int = 600, seed: int = 2026) -> DataFrame:
@@ -122,4 +138,4 @@ def draw_index(weights: Sequence[float], u: Callable[[int], float], n: int) -> l
     return np.searchsorted(edges, [u(k) * edges[-1] for k in range(n)], "right").clip(0, len(edges) - 1).tolist()
 
 
-__all__ = ["bootstrap_auc", "bootstrap_mean", "draw_index", "fixed_weights", "interval", "one_per_group", "portable_hash", "sample", "stratified", "weighted_ap", "weighted_auc"]
+__all__ = ["DrawnRanks", "bootstrap_auc", "bootstrap_mean", "draw_index", "fixed_weights", "interval", "one_per_group", "portable_hash", "sample", "stratified", "weighted_ap", "weighted_auc"]

@@ -146,3 +146,16 @@ def test_pairs_of_images_shuffle_no_expanded_rows(spark, sf):
     text = queries.paired(queries.test_rows(spark, sf, by_image=True))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text
     assert all("REPARTITION_BY_NUM" in line or "Broadcast" in line for line in text.splitlines() if "Exchange" in line)
+
+
+@pytest.mark.parametrize("n, clusters, share, digits", [(400, 40, 0.5, 1), (3000, 300, 0.2, 6), (50, 50, 0.0, 1), (50, 20, 1.0, 1), (300, 300, 0.02, 0)])
+def test_draws_by_whole_numbers_are_the_weighted_statistics(n, clusters, share, digits):
+    rng = np.random.default_rng(n)
+    y, unit = (rng.random(n) < share).astype(float), rng.integers(0, clusters, n)
+    s = np.round(rng.normal(y, 1.2), digits)
+    times = np.stack([np.bincount(rng.integers(0, clusters, clusters), minlength=clusters) for _ in range(20)])
+    order = np.argsort(s, kind="stable")
+    starts, weights = np.flatnonzero(np.r_[True, np.diff(s[order]) > 0]), times[:, unit].astype(float)
+    want = np.stack([resample.weighted_auc(order, starts, y, weights), resample.weighted_ap(order, starts, y, weights)], axis=1)
+    drawn = resample.DrawnRanks(unit, s, y == 1)
+    assert np.allclose([drawn.auc_and_ap(t) for t in times], want, equal_nan=True, atol=1e-12)
