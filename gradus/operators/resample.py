@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -76,22 +77,37 @@ def bootstrap_auc(df: DataFrame, groups: Sequence[str], draws: int, seed: int, c
     """groups, draw, auc, ap: AUC and average precision of each draw, with rows (or clusters) drawn with replacement.
 
     Every group draws from the same generator over the sorted clusters, so draws pair across groups
-    with the same clusters. A group is one condition of the study, whose rows one task holds; rows
-    are the study's images, thousands of them. For more images use fixed_weights and rank.auc.
+    with the same clusters. A group is one condition of the study; a task holds the rows of some and
+    draws once for all of them. For more images use fixed_weights and rank.auc.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in groups)
 
     def run(table: pa.Table) -> pa.Table:
-        by = table.column(cluster or key).to_numpy()
-        s, y = table.column(score).to_numpy().astype(float), table.column(label).to_numpy() == 1
-        units, unit = np.unique(by, return_inverse=True)
-        drawn = DrawnRanks(unit, s, y)
-        rng = np.random.default_rng(seed)
-        found = np.array([drawn.auc_and_ap(np.bincount(rng.integers(0, len(units), len(units)), minlength=len(units))) for _ in range(draws)]).reshape(draws, 2)
-        out = {g: pa.array([table.column(g)[0].as_py()] * draws, table.schema.field(g).type) for g in groups}
-        return pa.table(out | {"draw": pa.array(np.arange(draws, dtype=np.int32)), "auc": pa.array(found[:, 0]), "ap": pa.array(found[:, 1])})
-
-    return df.select(*groups, *dict.fromkeys([key, *([cluster] if cluster else []), score, label])).groupBy(*groups).applyInArrow(run, f"{fields}, draw int, auc double, ap double")
+        by, s = table.column(cluster or key).to_numpy(), table.column(score).to_numpy().astype(float)
+        y = table.column(label).to_numpy() == 1
+        alike: dict[bytes, list[tuple[int, DrawnRanks]]] = {}  # groups with the same clusters: a row of each, and its ranks
+        units = {}
+        for rows in table.select(list(groups)).to_pandas().groupby(list(groups), dropna=False).indices.values() if groups else [np.arange(len(by))]:
+            own, unit = np.unique(by[rows], return_inverse=True)
+            name = hashlib.sha256(repr(own.tolist()).encode()).digest()
+            units[name] = len(own)
+            alike.setdefault(name, []).append((int(rows[0]), DrawnRanks(unit, s[rows], y[rows])))
+        out = []
+        for name, members in alike.items():
+            rng, n = np.random.default_rng(seed), units[name]
+            found = np.empty((len(members), draws, 2))
+            for d in range(draws):
+                times = np.bincount(rng.integers(0, n, n), minlength=n)
+                for k, (_, drawn) in enumerate(members):
+                    found[k, d] = drawn.auc_and_ap(times)
+            for (row, _), f in zip(members, found, strict=True):
+                same = {g: pa.array([table.column(g)[row].as_py()] * draws, table.schema.field(g).type) for g in groups}
+                out.append(pa.table(same | {"draw": pa.array(np.arange(draws, dtype=np.int32)), "auc": pa.array(f[:, 0]), "ap": pa.array(f[:, 1])}))
+        return pa.concat_tables(out)
+
+    own = df.select(*groups, *dict.fromkeys([key, *([cluster] if cluster else []), score, label]))
+    share = F.pmod(F.xxhash64(*groups), F.lit(df.sparkSession.sparkContext.defaultParallelism)) if groups else F.lit(0)
+    return own.groupBy(share.alias("share")).applyInArrow(run, f"{fields}, draw int, auc double, ap double")
 
 
 class DrawnRanks:
@@ -100,8 +116,8 @@ class DrawnRanks:
     def __init__(self, unit: np.ndarray, s: np.ndarray, y: np.ndarray):
         """unit is the cluster of each row, s its score, y whether it is positive."""
         order = np.argsort(-s, kind="stable")
-        s, y, unit = -s[order], y[order].astype(bool), unit[order].astype(np.int32)
-        self.pos, self.neg = unit[y], unit[~y]
+        s, y, unit = -s[order], y[order].astype(bool), unit[order]
+        self.pos, self.neg = unit[y].astype(np.intp), unit[~y].astype(np.intp)
         self.before, self.until = (np.searchsorted(s[~y], s[y], side).astype(np.int32) for side in ("left", "right"))  # negatives above each positive, and not below it
         self.last = (np.searchsorted(s[y], s[y], "right") - 1).astype(np.int32)  # the last positive of each one's score
 
