@@ -240,18 +240,27 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _members(chosen: DataFrame) -> DataFrame:
+    """block, sig, n, pos, before, before2: a row per shingle of each prefix, with the two shingles before it.
+
+    They are taken here, so that no row carries a whole prefix through the shuffle that follows.
+    """
+    earlier = lambda i, k: F.coalesce(F.get("prefix", i - k), F.lit(0))
+    rows = F.transform("prefix", lambda x, i: F.struct(x.alias("block"), i.alias("pos"), earlier(i, 1).alias("before"), earlier(i, 2).alias("before2")))
+    return chosen.select("sig", "n", F.explode(rows).alias("m")).select("m.block", "sig", "n", "m.pos", "m.before", "m.before2")
+
+
 def links_and_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, part: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """A row per document (id, n, sig), and components of linked sigs (node, comp)."""
     made = kept(sketches(docs, cell_counts(docs, text_col, size), id_col, text_col, size, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-sketches")
     rows = kept(made.select("id", "n", "sig"), "jaccard-rows")
     reps = kept(made.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "row")).alias("r")).select(F.col("r.row").alias("row")), "jaccard-reps")
-    chosen = made.join(small(reps), "row")
-    nodes = kept(chosen.select("sig", "n", F.col("id").alias("doc"), "point"), "jaccard-nodes")
-    members = chosen.select("sig", "n", "prefix", F.posexplode("prefix").alias("pos", "block"))
-    shared = kept(members.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-blocks")
-    earlier = lambda k: F.coalesce(F.get("prefix", F.col("pos") - k), F.lit(0))
-    multi = kept(members.join(small(shared), "block").select("block", "size", "sig", "n", "pos", earlier(1).alias("before"), earlier(2).alias("before2")), "jaccard-members")
-    released(made, reps, shared)
+    chosen = kept(made.join(small(reps), "row").select("sig", "n", F.col("id").alias("doc"), "prefix", "point"), "jaccard-chosen")
+    released(made, reps)
+    nodes = kept(chosen.select("sig", "n", "doc", "point"), "jaccard-nodes")
+    shared = kept(chosen.select(F.explode("prefix").alias("block")).groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-blocks")
+    multi = kept(_members(chosen).join(small(shared), "block"), "jaccard-members")
+    released(chosen, shared)
 
     # One document of each block first: the one whose shingles most others share. That is the text that
     # the others of a large group were copied from, if it is there; any other would link to few of them.

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradus.llm import common, decontaminate, htmltext, linedup, lmscore, tokens
+from gradus.llm import common, decontaminate, htmltext, jaccard, linedup, lmscore, tokens
 
 
 def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
@@ -102,3 +102,23 @@ def test_shards_of_a_benchmark_give_what_one_gives(spark):
     docs = spark.createDataFrame([(k, f"start w{k}x0 " + " ".join(f"w{k}x{j}" for j in range(2, 13)) + " end") for k in range(60)], "doc_id long, text string")
     one = sorted(map(str, decontaminate.contamination(docs, items).collect()))
     assert one == sorted(map(str, decontaminate.contamination(docs, items, most_bytes=900).collect()))
+
+
+def joined_columns(df):
+    """Names of the columns on either side of each join of df's plan."""
+    out, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Join":
+            out += [{side.output().apply(k).name() for k in range(side.output().size())} for side in (node.left(), node.right())]
+    return out
+
+
+def test_no_prefix_crosses_the_join_by_block(spark, documents, monkeypatch):
+    """Beyond the broadcast limit each row of a prefix would carry the whole prefix through a shuffle."""
+    seen, keep = {}, jaccard.kept
+    monkeypatch.setattr(jaccard, "kept", lambda df, name: (seen.setdefault(name, joined_columns(df)), keep(df, name))[1])
+    monkeypatch.setattr(jaccard, "small", lambda table: table)
+    assert jaccard.jaccard_components(documents).count() == documents.count()
+    assert seen["jaccard-members"] and not any("prefix" in names for names in seen["jaccard-members"])
