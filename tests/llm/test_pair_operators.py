@@ -452,3 +452,52 @@ def test_jaccard_links_documents_without_an_id(spark):
     want = brute_components(list(enumerate(texts)))
     n = rows.select("sig").distinct().join(comps.withColumnRenamed("node", "sig"), "sig", "left").select(F.coalesce("comp", "sig")).distinct().count()
     assert n == len({c for _, _, c in want})
+
+
+def edited(rng, line, edits):
+    for _ in range(edits):
+        at = rng.randrange(len(line))
+        line = rng.choice([line[:at] + rng.choice("abcdefgh") + line[at + 1 :], line[:at] + line[at + 1 :], line[:at] + rng.choice("abcdefgh") + line[at:]])
+    return line
+
+
+def linked(known):
+    u = Union()
+    for i, a in enumerate(known):
+        u.find(i)
+        for j in range(i):
+            if 5 * edit_distance(a, known[j]) <= max(len(a), len(known[j])):
+                u.join(i, j)
+    return u
+
+
+def test_short_lines_miss_no_link(spark):
+    """As many edits as a link may have, anywhere in a line of up to 24 characters."""
+    rng = random.Random(3)
+    known = set()
+    for _ in range(60):
+        line = "".join(rng.choices("abcdefgh", k=rng.randint(5, 24)))
+        known |= {line, *(x for _ in range(3) if 4 < len(x := edited(rng, line, len(line) // 5)) <= 24)}
+    known = sorted(known, key=lambda k: zlib.crc32(k.encode()))
+    u = linked(known)
+    want = {k for k in range(len(known)) if u.find(k) == k}
+    df = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+    assert len(want) < len(known) - 60 and {r.doc_id for r in linedup.dedup_lines(df, edits=True).where("n_removed = 0").collect()} == want
+
+
+def test_every_two_lines_of_a_key_are_compared(spark):
+    """Whatever else they share, and however many parts a key is dealt into."""
+    rng = random.Random(6)
+    base = "".join(rng.choices("abcdefgh", k=120))
+    known = [base]
+    while len(known) < 24:
+        known.append(edited(rng, rng.choice(known), rng.randint(8, 22)))
+    df = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+    found = linedup._lines(df, linedup._document("doc_id", "text"), "text").select("doc", "line_no", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("len"))
+    lines = linedup.kept(found, "linedup-lines")
+    members = linedup.kept(lines.selectExpr("1L key", f"{len(known)}L size", "node", "0L sim", "len", "node comp"), "linedup-members")
+    number = {r.node: r.doc.id for r in lines.collect()}
+    want = {(j, i) for i in range(24) for j in range(i) if 5 * edit_distance(known[i], known[j]) <= max(len(known[i]), len(known[j]))}
+    for part in (7, 256):
+        got = linedup._searched(members, lines, df, "doc_id", "text", 64, 5, part).collect()
+        assert {tuple(sorted((number[r.a], number[r.b]))) for r in got} == want and 20 < len(want) < 276
