@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -501,3 +502,34 @@ def test_every_two_lines_of_a_key_are_compared(spark):
     for part in (7, 256):
         got = linedup._searched(members, lines, df, "doc_id", "text", 64, 5, part).collect()
         assert {tuple(sorted((number[r.a], number[r.b]))) for r in got} == want and 20 < len(want) < 276
+
+
+def test_lines_of_shared_keys_are_compared_on_little_disk(spark):
+    """One copy of the lines' starts is shuffled for each key and pair of parts, and what starts can't tell isn't lost."""
+    rng = random.Random(7)
+    known = ["".join(rng.choices("abcdefghijklmnop", k=3000)) for _ in range(40)]
+    known += [edited(rng, known[0], 550), known[1][:1500] + "".join(rng.choices("qrstuvwxyz", k=1500))]  # the latter shares its start only
+    df = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+    found = linedup._lines(df, linedup._document("doc_id", "text"), "text").select("doc", "line_no", F.xxhash64("line").alias("node"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("len"))
+    lines = linedup.kept(found, "linedup-lines")
+    members = linedup.kept(lines.crossJoin(spark.range(30)).selectExpr("id key", f"{len(known)}L size", "node", "0L sim", "len", "node comp"), "linedup-members")
+    number = {r.node: r.doc.id for r in lines.collect()}
+    written = lambda: (time.sleep(1), sum(e.totalShuffleWrite() for e in [spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)]))[1]
+    before = written()
+    got = linedup._searched(members, lines, df, "doc_id", "text", 64, 5, 14).collect()
+    assert [tuple(sorted((number[r.a], number[r.b]))) for r in got] == [(0, 40)]
+    assert 0 < written() - before < 30 * sum(map(len, known)) / 2
+
+
+def test_starts_let_every_link_pass(spark):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choices("abc", k=rng.randint(1, 70)))
+        b = edited(rng, a, rng.randint(0, len(a) // 4 + 1))
+        if b and 5 * abs(len(a) - len(b)) <= max(len(a), len(b)):
+            pairs.append((a, b))
+    rows = spark.createDataFrame(pairs, "x string, y string").withColumns({"sx": linedup._start("x", 5), "sy": linedup._start("y", 5)})
+    got = rows.select("x", "y", F.expr(linedup._starts("sx", "sy", "length(x)", "length(y)", 5)).alias("near"), linedup._alike(5).alias("alike")).collect()
+    linked = [5 * edit_distance(r.x, r.y) <= max(len(r.x), len(r.y)) for r in got]
+    assert [r.alike for r in got] == linked and all(r.near for r, k in zip(got, linked, strict=True) if k) and 50 < sum(linked) < len(got)
