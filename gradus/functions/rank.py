@@ -8,7 +8,7 @@ bucket totals. No window ever spans a whole group of rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -52,6 +52,72 @@ def auc(df: DataFrame, groups: Sequence[str], score: str = "logit", label: str =
     return c.groupBy(*groups).agg((F.sum("pos") + F.sum("neg")).alias("n"), F.sum("pos").alias("n_pos"), ratio(below, F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
+def auc_many(df: DataFrame, groups: Sequence[str], score: str = "logit", label: str = "label_45", step: float = 1 / 4, rows: int = 1 << 20) -> DataFrame:
+    """auc() of many groups (one column at least) that have many distinct scores, which are doubles: each row is sorted in runs of `rows`.
+
+    A run leaves its distinct scores packed by group and bucket of width `step`, so ties are combined before the one
+    shuffle and few rows are shuffled. A bucket counts its own pairs; those across buckets follow from the buckets' sums.
+    """
+    value = F.col(score).cast("double")
+    plain = df.where(value.isNotNull() & ~F.isnan(value)).select(*groups, value.alias("value"), F.coalesce(F.col(label) == 1, F.lit(False)).alias("is_pos"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*groups).schema)
+    packed = plain.mapInArrow(_packing(list(groups), step, rows), f"{fields}, bucket long, scores binary, pos binary, neg binary")
+    sums = packed.groupBy(*groups, "bucket").applyInArrow(_bucket_pairs, f"{fields}, bucket long, pos long, neg long, twice long")
+    before = W.partitionBy(*groups).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    below = F.sum(F.col("twice") * F.lit(0.5) + F.col("pos") * F.col("lower"))
+    return sums.withColumn("lower", F.coalesce(F.sum("neg").over(before), F.lit(0))).groupBy(*groups).agg((F.sum("pos") + F.sum("neg")).alias("n"), F.sum("pos").alias("n_pos"), ratio(below, F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def _packing(groups: list[str], step: float, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches of groups, value, is_pos: groups, bucket, and its distinct values with counts of both classes as bytes."""
+
+    def packed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes = np.zeros(table.num_rows, np.int64)
+        for g in groups:
+            coded = table[g].combine_chunks().dictionary_encode("encode")
+            codes = np.unique(codes * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        value, is_pos = table["value"].to_numpy() + 0.0, table["is_pos"].to_numpy().astype(np.int64)  # + 0.0: -0.0 is 0.0
+        order = np.lexsort((value, codes))
+        codes, value = codes[order], value[order]
+        at = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (value[1:] != value[:-1])])
+        pos, n = np.add.reduceat(is_pos[order], at), np.diff(np.r_[at, len(order)])
+        of, value = codes[at], value[at]
+        bucket = np.clip(np.floor(value / step), -(2.0**62), 2.0**62).astype(np.int64)
+        runs = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])])
+        ends = np.r_[runs, len(at)]
+        cells = lambda x, size: pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer((ends * size).astype(np.int32)), pa.py_buffer(x)])
+        keys = table.select(groups).take(pa.array(order[at[runs]])).combine_chunks()
+        columns = [*(keys[g].combine_chunks() for g in groups), pa.array(bucket[runs]), cells(value, 8), cells(pos.astype(np.int32), 4), cells((n - pos).astype(np.int32), 4)]
+        yield from pa.table(columns, names=[*groups, "bucket", "scores", "pos", "neg"]).to_batches(max_chunksize=4096)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from packed(pa.Table.from_batches(held))
+
+    return run
+
+
+def _bucket_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """key (groups, bucket), pos, neg, and twice: two for each negative under a positive of the bucket, one for each tie."""
+    joined = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
+    value = joined("scores", np.float64)
+    order = np.argsort(value, kind="stable")
+    pos, neg = (joined(c, np.int32)[order].astype(np.int64) for c in ("pos", "neg"))
+    value = value[order]
+    at = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    pos, neg = np.add.reduceat(pos, at), np.add.reduceat(neg, at)
+    twice = int((pos * (2 * np.cumsum(neg) - neg)).sum())
+    names = table.column_names[: len(key)]
+    return pa.table([*(pa.array([k.as_py()], k.type) for k in key), *(pa.array([int(x)], pa.int64()) for x in (pos.sum(), neg.sum(), twice))], names=[*names, "pos", "neg", "twice"])
+
+
 def average_precision(df: DataFrame, groups: Sequence[str], score: str = "logit", label: str = "label_45", weight: str | None = None) -> DataFrame:
     """groups, ap: precision at each distinct score, weighted by the recall gained there; null without positives."""
     c = cumulated(df, groups, score, _sides(label, weight), descending=True)

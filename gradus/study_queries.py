@@ -20,7 +20,7 @@ _GRID = f"select t.image_id, t.label_45, t.degradation_type, t.severity, arch, s
 
 def model_pred(spark, sf_dir) -> DataFrame:
     """Every test row under nine models: three architectures with three seeds."""
-    return spark.sql(_GRID, test=test_rows(spark, sf_dir))
+    return spark.sql(_GRID, test=test_rows(spark, sf_dir, by_image=True))
 
 
 def over_seeds(scores: DataFrame, value: str, ddof: int = 1) -> DataFrame:
@@ -42,7 +42,7 @@ m as (select arch, degradation_type, severity, avg(auc) mean, stddev_samp(auc) s
 s as (select * from m where severity > 0 union all select arch, d, 0, mean, sd, n from c, (values ('noise'), ('blur'), ('contrast'), ('jpeg2000'), ('resolution')) k(d))
 select s.arch, s.degradation_type, cast(s.severity as int) severity, round(s.mean, 6) mean, round(s.sd, 6) sd, s.n, round((c.mean - s.mean) / c.mean, 6) relative_drop from s join c on s.arch = c.arch""")
 def multiarch_auc(spark, sf_dir):
-    scores = rank.auc(model_pred(spark, sf_dir), ["arch", "seed", *C])
+    scores = rank.auc_many(model_pred(spark, sf_dir), ["arch", "seed", *C])
     return r6(over_seeds(scores, "auc").withColumn("severity", F.col("severity").cast("int")), "mean", "sd", "relative_drop")
 
 

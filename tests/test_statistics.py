@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  it registers the queries
 from gradus.functions import calibration, rank
+from gradus import study_queries
 from gradus.operators import resample
 from gradus.queries import QUERIES
 
@@ -43,6 +44,22 @@ def test_auc_of_one_class_is_null(spark):
     assert {r.g: r.auc for r in rank.auc(df, ["g"]).collect()} == {"a": None, "b": 1.0}
 
 
+def test_auc_of_many_groups_is_auc(spark):
+    rows = [(g, h, (k * 31 + len(g)) % 3 % 2 if g != "one" else 1, float(k * k % 41 - 20) / 8 * (-1) ** k if k % 7 else -0.0) for g in ("a", "bb", "one") for h in (1, None) for k in range(200)]
+    rows += [("a", 1, 1, None), ("bb", 1, 0, float("nan")), ("a", None, None, 0.5), ("a", 1, 1, float("inf")), ("a", 1, 0, float("-inf"))]
+    df = spark.createDataFrame(rows, "g string, h int, label_45 int, logit double").repartition(3)
+    want = {(r.g, r.h): (r.n, r.n_pos, r.auc) for r in rank.auc(df.where("abs(logit) < 100"), ["g", "h"]).collect()}
+    for size in (50, 1 << 20):
+        assert {(r.g, r.h): (r.n, r.n_pos, r.auc) for r in rank.auc_many(df.where("abs(logit) < 100"), ["g", "h"], rows=size).collect()} == want
+        both = {(r.g, r.h): r.n for r in rank.auc_many(df, ["g", "h"], rows=size).collect()}
+        assert both == {k: n + 2 * (k == ("a", 1)) for k, (n, _, _) in want.items()}
+    assert rank.auc_many(df.where("false"), ["g"]).count() == 0
+
+
+def test_models_of_one_small_file_are_scored_in_many_tasks(spark, sf):
+    assert study_queries.model_pred(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_empty_and_null_scores(spark):
     df = spark.createDataFrame([(1, None), (0, float("nan")), (1, 1.0), (0, 0.0)], "label_45 int, logit double")
     assert rank.auc(df, []).first().auc == 1.0
