@@ -534,3 +534,29 @@ def test_starts_let_every_link_pass(spark):
     got = rows.select("x", "y", F.expr(linedup._starts("sx", "sy", "length(x)", "length(y)", 5)).alias("near"), linedup._alike(5).alias("alike")).collect()
     linked = [5 * edit_distance(r.x, r.y) <= max(len(r.x), len(r.y)) for r in got]
     assert [r.alike for r in got] == linked and all(r.near for r, k in zip(got, linked, strict=True) if k) and 50 < sum(linked) < len(got)
+
+
+def test_counts_and_short_starts_let_every_link_pass(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choices(linedup.COUNTED + "xyzß中", k=rng.randint(1, 90)))
+        b = edited(rng, a, rng.randint(0, len(a) // 4 + 1)) if rng.random() < 0.7 else "".join(rng.choices(linedup.COUNTED, k=len(a)))
+        pairs.append((a, b))
+    rows = spark.createDataFrame(pairs, "x string, y string").withColumns({"nx": linedup._counts("x"), "ny": linedup._counts("y")})
+    got = rows.select("x", "y", "nx", F.expr(linedup._even("nx", "ny", "length(x)", "length(y)", 5)).alias("even"), linedup._alike(5).alias("alike")).collect()
+    alike = [5 * edit_distance(r.x, r.y) <= max(len(r.x), len(r.y)) for r in got]
+    assert all(sum(r.nx) == len(r.x) for r in got) and [r.alike for r in got] == alike
+    assert all(r.even for r, k in zip(got, alike, strict=True) if k) and sum(not r.even for r in got) > 20
+
+
+def test_lines_compared_with_a_pivot_are_not_compared_again(spark, monkeypatch):
+    """Of a key's lines that do not link, the second search gets all but the pivot, and none of a key of two."""
+    passage = "one passage that all of these lines have in common word for word and that gives them keys"
+    own = lambda c: " ".join(c * k for k in range(3, 14))
+    seen, real = [], linedup._searched
+    monkeypatch.setattr(linedup, "_searched", lambda members, *rest: (seen.append(members.groupBy("key", "size").count().collect()), real(members, *rest))[1])
+    lines = [f"{own(c)} {passage} {own(c)}" for c in "qzv"] + [f"{own(c)} and another passage that these two only have in common, which gives them keys as well {own(c)}" for c in "jk"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert linedup.dedup_lines(df, edits=True).where("n_removed = 0").count() == len(lines)
+    assert seen[0] and all(r["size"] > 2 and r["count"] == r["size"] - 1 for r in seen[0])
