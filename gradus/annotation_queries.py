@@ -270,13 +270,13 @@ def calibrated_condition_table(spark, sf_dir):
 
 @query()
 def bootstrap_ci_image(spark, sf_dir):
-    draws = resample.bootstrap_auc(test_rows(spark, sf_dir), C, 1000, 2026)
+    draws = resample.bootstrap_auc(test_rows(spark, sf_dir), C, 1000, 2026, ap=False)
     return r6(resample.interval(draws.where("not isnan(auc)"), C, "auc"), "low", "high")
 
 
 @query()
 def bootstrap_ci_study_paired(spark, sf_dir):
-    draws = resample.bootstrap_auc(test_rows(spark, sf_dir), C, 2000, 42, cluster="study_id").where("not isnan(auc)")
+    draws = resample.bootstrap_auc(test_rows(spark, sf_dir), C, 2000, 42, cluster="study_id", ap=False).where("not isnan(auc)")
     clean = draws.where("severity = 0").select("draw", F.col("auc").alias("auc0"))
     deltas = draws.join(clean, "draw").withColumn("delta", F.col("auc") - F.col("auc0"))
     return r6(resample.interval(deltas, C, "delta"), "low", "high")

@@ -191,7 +191,7 @@ def bootstrap_ci_study(spark, sf_dir):
 def bootstrap_ci_unpaired(spark, sf_dir):
     """The interval of each condition's AUC, moved by the AUC of clean: the older figure's bars."""
     df = test_rows(spark, sf_dir)
-    ends = resample.interval(resample.bootstrap_auc(df, C, 1000, 2026).where("not isnan(auc)"), C, "auc")
+    ends = resample.interval(resample.bootstrap_auc(df, C, 1000, 2026, ap=False).where("not isnan(auc)"), C, "auc")
     clean = rank.auc(df.where("severity = 0"), []).select(F.col("auc").alias("auc0"))
     return r6(ends.crossJoin(F.broadcast(clean)).select(*C, (F.col("low") - F.col("auc0")).alias("low"), (F.col("high") - F.col("auc0")).alias("high"), "draws"), "low", "high")  # one row
 

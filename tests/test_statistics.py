@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,42 @@ def test_draws_by_whole_numbers_are_the_weighted_statistics(n, clusters, share,
     want = np.stack([resample.weighted_auc(order, starts, y, weights), resample.weighted_ap(order, starts, y, weights)], axis=1)
     drawn = resample.DrawnRanks(unit, s, y == 1)
     assert np.allclose([drawn.auc_and_ap(t) for t in times], want, equal_nan=True, atol=1e-12)
+
+
+@pytest.mark.parametrize("n, clusters, share, digits", [(400, 40, 0.5, 1), (50, 50, 0.0, 1), (50, 20, 1.0, 1), (3000, 300, 0.2, 6), (300_000, 5000, 0.2, 2), (140_000, 300, 0.0005, 6), (20_000, 100, 0.9, 9)])
+def test_eight_draws_at_once_are_those_one_by_one(n, clusters, share, digits):
+    """Ties within and across blocks, one class only, and more positives in a block than 16 bits could add up."""
+    rng = np.random.default_rng(n)
+    y, unit = rng.random(n) < share, rng.integers(0, clusters, n)
+    s = np.round(rng.normal(y * (9.0 if share == 0.9 else 1.0), 1.2), digits)
+    times = np.zeros((clusters + 1, 8), np.uint8)
+    times[:clusters] = np.minimum(rng.poisson(1.5, (clusters, 8)), 15)
+    drawn, packed = resample.DrawnRanks(unit, s, y), resample.PackedRanks(unit, s, y)
+    want = np.array([drawn.auc_and_ap(times[:-1, k]) for k in range(8)])
+    assert np.array_equal(packed.auc_and_ap_of_eight(times.view(np.uint64).ravel()), want, equal_nan=True)
+    assert np.array_equal([packed.plain().auc_and_ap(times[:-1, k]) for k in range(8)], want, equal_nan=True)
+
+
+def test_bootstrap_tasks_hold_few_rows_of_a_group(spark):
+    """One group after another, cells of few rows, and the draws of numpy's generator, whichever task has a group."""
+    rng = np.random.default_rng(8)
+    rows = [(g, int(i), int(i) % 90 + (1 << 33 if g == "d" else 0), float(np.round(rng.normal(), 2)), int(rng.random() < 0.3)) for g in ("a", "b", None, "d") for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, image_id long, study_id long, logit double, label_45 int").repartition(3)
+    found = resample.bootstrap_auc(df, ["g"], 11, 42, cluster="study_id", rows=500)
+    got = {(r.g, r.draw): (r.auc, r.ap) for r in found.collect()}
+    for g in ("a", "b", None, "d"):
+        part = [r for r in rows if r[0] == g]
+        unit = np.unique([r[2] for r in part], return_inverse=True)[1]
+        ranks, draws = resample.DrawnRanks(unit, np.array([r[3] for r in part]), np.array([r[4] == 1 for r in part])), np.random.default_rng(42)
+        want = [ranks.auc_and_ap(np.bincount(draws.integers(0, 90, 90), minlength=90)) for _ in range(11)]
+        assert np.allclose([got[g, d] for d in range(11)], want, atol=1e-12)  # of equal scores rows come in any order
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan  # which would hold a group, or several, as one table
+    cells = list(resample._cells(16)(iter([pa.RecordBatch.from_pydict({"_k": pa.array([0, 1] * 50, pa.int32()), "unit": list(range(100))})])))
+    assert max(len(x) for b in cells for x in b.column(1).to_pylist()) == 16
+
+
+def test_counts_of_draws_are_the_generators():
+    for n in (1, 5, 2_500_000):
+        a, b = np.random.default_rng(3), np.random.default_rng(3)
+        assert all(np.array_equal(resample._times(a, n), np.bincount(b.integers(0, n, n), minlength=n)) for _ in range(2))
