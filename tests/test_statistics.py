@@ -216,3 +216,9 @@ def test_counts_of_draws_are_the_generators():
     for n in (1, 5, 2_500_000):
         a, b = np.random.default_rng(3), np.random.default_rng(3)
         assert all(np.array_equal(resample._times(a, n), np.bincount(b.integers(0, n, n), minlength=n)) for _ in range(2))
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci_study_paired", "bootstrap_ci_study"])
+def test_paired_bootstraps_draw_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the cells, and the draws
